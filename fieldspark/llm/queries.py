@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash
+from . import mixing, simhash, suffixes, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
+        "op2_toxicity": toxicity.query,
+        "op4_tokens": tokens.query,
         "op8_mixing": mixing.query,
+        "op10_suffixes": suffixes.query,
     }
 
 

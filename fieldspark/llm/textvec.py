@@ -21,6 +21,8 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LEN = np.uint64(0xA0761D6478BD642F)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII that is neither letter nor digit: words between these carry no punctuation.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -72,13 +74,13 @@ def parts(column, target: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offs: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, word ends, and for each document the index of its first word (n+1 entries)."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    ink = ~SPACE[buf]
+    ink = ~gaps[buf]
     before = np.empty(n, bool)
     before[0], before[1:] = False, ink[:-1]
     before[offs[:-1][offs[:-1] < n]] = False
@@ -110,9 +112,9 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(h + (ends - starts).astype(np.uint64) * _LEN)
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = True, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (ASCII letters lowered if asked) and each document's first word index."""
-    starts, ends, first = words(buf, offs)
+    starts, ends, first = words(buf, offs, gaps)
     return span_hash(prefix(LOWER[buf] if lower else buf), starts, ends), first
 
 
