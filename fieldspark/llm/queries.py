@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, suffixes, tokens, toxicity
+from . import mixing, simhash, suffixes, tokens, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
         "op2_toxicity": toxicity.query,
+        "op3_vectors": vectors.query,
         "op4_tokens": tokens.query,
         "op8_mixing": mixing.query,
         "op10_suffixes": suffixes.query,
