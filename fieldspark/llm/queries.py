@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, simhash, suffixes, tokens, toxicity, vectors
+from . import chat, decontaminate, mixing, quality, simhash, suffixes, tokens, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": quality.query,
         "op7_chat": chat.query,
         "op8_mixing": mixing.query,
+        "op9_decontaminate": decontaminate.query,
         "op10_suffixes": suffixes.query,
     }
 
