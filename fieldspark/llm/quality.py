@@ -44,7 +44,7 @@ for _b in b"!#$%&*.,|<>{}@:/":
 def _terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = textvec.words(buf, offs)
     doc = textvec.doc_of(first)
-    word = textvec.span_hash(textvec.prefix(textvec.LOWER[buf]), starts, ends)
+    word = textvec.span_hash(textvec.prefix(textvec.fold(buf)), starts, ends)
     kind = _SHAPE[buf]
     run = np.ones(len(buf), bool)
     run[1:] = kind[1:] != kind[:-1]

@@ -25,6 +25,17 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def fold(buf: np.ndarray) -> np.ndarray:
+    """The bytes with ASCII and Latin-1 capitals lowered (C3 80..9E become C3 A0..BE in UTF-8)."""
+    out = LOWER[buf]
+    if len(buf) > 1:
+        tail = out[1:]
+        tail[(buf[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)] += 32
+    return out
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -113,9 +124,9 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = True, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (ASCII letters lowered if asked) and each document's first word index."""
+    """Hash of each word (capitals lowered if asked) and each document's first word index."""
     starts, ends, first = words(buf, offs, gaps)
-    return span_hash(prefix(LOWER[buf] if lower else buf), starts, ends), first
+    return span_hash(prefix(fold(buf) if lower else buf), starts, ends), first
 
 
 def doc_of(first: np.ndarray) -> np.ndarray:

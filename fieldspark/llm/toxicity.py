@@ -40,7 +40,7 @@ THRESHOLD = 0.7
 def _features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of every word and prefix, repeats included."""
     starts, ends, first = textvec.words(buf, offs, textvec.MARKS)
-    sums, doc = textvec.prefix(textvec.LOWER[buf]), textvec.doc_of(first)
+    sums, doc = textvec.prefix(textvec.fold(buf)), textvec.doc_of(first)
     docs, hashes = [doc], [textvec.span_hash(sums, starts, ends)]
     for k in PREFIXES:
         long = ends - starts > k
