@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, quality, simhash, suffixes, tokens, toxicity, vectors
+from . import chat, decontaminate, licenses, mixing, quality, simhash, suffixes, tokens, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.query,
         "op3_vectors": vectors.query,
         "op4_tokens": tokens.query,
+        "op5_licenses": licenses.query,
         "op6_quality": quality.query,
         "op7_chat": chat.query,
         "op8_mixing": mixing.query,
