@@ -49,7 +49,13 @@ class Saved:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        conf.set(key, "true")  # the table stands for its shuffles, so their files go when it is written
+        try:
+            df.write.parquet(self.path)
+        finally:
+            conf.set(key, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -14,14 +14,17 @@ any repeat:
    leans on them repeats.
 2. Second rank, at the larger offset: a 128-bit fingerprint of all strings
    that lean on the anchor, up to 350 bytes.  Where it repeats, all of them do.
-3. Anchors that share the first rank but not the second are resolved byte by
-   byte: one representative of each second rank lists its 200-byte strings,
-   and their 128-bit fingerprints are counted with the representatives'
-   multiplicities.
+3. Anchors that share the first rank but not the second are resolved on one
+   representative of each second rank, which carries its 350 bytes at most.
+   Its starts are cut into runs of ``RUN``; a run's first rank is the
+   fingerprint of the bytes all its strings share, its second that of all its
+   bytes, and the same rule settles most runs.
+4. What is left, about one run beside each edge, lists its 200-byte strings,
+   whose fingerprints are counted with the representatives' multiplicities.
 
 Counts are partial aggregations, and joins only have one hot side, so a
 passage in a third of all documents is spread over tasks; whole copies
-collapse to one representative before any string is listed.  First ranks pass
+collapse to one representative before step 3.  First ranks pass
 through a bit table of fixed size (``BITS``) that is broadcast; its false hits
 cost rows and are settled in step 2.
 
@@ -45,6 +48,7 @@ from . import common, textvec
 
 LENGTH = 200
 GRAM = 50
+RUN = 8
 BITS = 27
 _POS = 24
 _PIECE = 1 << 22
@@ -112,7 +116,7 @@ def _bit_table(hashes: DataFrame) -> np.ndarray:
 
 
 def _second_ranks(keyed: DataFrame, table) -> DataFrame:
-    """(h, r1, r2, doc_id, key, lo, hi) of anchors whose gram may repeat; lo and hi are their first and last start."""
+    """(h, r1, r2, doc_id, key, at, lo, hi) of anchors whose gram may repeat; lo and hi are their first and last start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
@@ -127,52 +131,106 @@ def _second_ranks(keyed: DataFrame, table) -> DataFrame:
                 raw, base = buf.tobytes(), np.searchsorted(offs, at, "right") - 1
                 r = _digests(xxhash.xxh3_128_digest(raw[x : y + LENGTH], (a - x) << 16 | (a - y)) for a, x, y in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True))
                 row = pa.array(base + first)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r[:, 0]), pa.array(r[:, 1]), b.column(0).take(row), b.column(1).take(row), pa.array(lo - offs[base]), pa.array(hi - offs[base])], ["h", "r1", "r2", "doc_id", "key", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r[:, 0]), pa.array(r[:, 1]), b.column(0).take(row), b.column(1).take(row), *(pa.array((x - offs[base]).astype(np.int32)) for x in (at, lo, hi))], ["h", "r1", "r2", "doc_id", "key", "at", "lo", "hi"])
 
-    return keyed.mapInArrow(run, "h long, r1 long, r2 long, doc_id long, key long, lo long, hi long")
+    return keyed.mapInArrow(run, "h long, r1 long, r2 long, doc_id long, key long, at int, lo int, hi int")
 
 
-def _strings(texts: DataFrame) -> DataFrame:
-    """(g1, g2, n, doc_id, key, start) of every 200-byte string that the listed representatives (column reps) hold."""
+def _contexts(texts: DataFrame) -> DataFrame:
+    """(doc_id, key, at, lo, hi, n, bytes) of the listed representatives (column reps): the bytes of all strings that lean on each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, key, text, reps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                lo, hi, n = (np.array([x[c] for x in reps], np.int64) for c in ("lo", "hi", "n"))
-                count = hi - lo + 1
-                for a, z in textvec.slices(np.r_[0, np.cumsum(count)], 1 << 16):
-                    c = count[a:z]
-                    start = np.repeat(lo[a:z] - np.cumsum(c) + c, c) + np.arange(c.sum())
-                    g = _digests(xxhash.xxh3_128_digest(raw[p : p + LENGTH]) for p in start.tolist())
-                    yield pa.RecordBatch.from_arrays([pa.array(g[:, 0]), pa.array(g[:, 1]), pa.array(np.repeat(n[a:z], c)), pa.array([doc_id] * len(g), pa.int64()), pa.array([key] * len(g), pa.int64()), pa.array(start)], ["g1", "g2", "n", "doc_id", "key", "start"])
+                raw, n = text.as_buffer(), len(reps)
+                cols = [pa.array([x[c] for x in reps], t) for c, t in (("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("n", pa.int64()))]
+                own = pa.array([raw[x["lo"] : x["hi"] + LENGTH].to_pybytes() for x in reps], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([key] * n, pa.int64()), *cols, own], ["doc_id", "key", "at", "lo", "hi", "n", "bytes"])
 
-    return texts.mapInArrow(run, "g1 long, g2 long, n long, doc_id long, key long, start long")
+    return texts.mapInArrow(run, "doc_id long, key long, at int, lo int, hi int, n long, bytes binary")
+
+
+_RUNS = "c1 long, c2 long, w1 long, w2 long, cid long, doc_id long, key long, n long, first int, last int"
+
+
+def _runs(contexts: DataFrame) -> DataFrame:
+    """Runs of RUN starts at fixed distances before the anchor: fingerprints of their common and of all their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, first, last, core, whole = [], [], [], [], []
+            cols = {c: b.column(c).to_pylist() for c in ("at", "lo", "hi")}
+            for i, (at, lo, hi, raw) in enumerate(zip(*cols.values(), b.column("bytes"), strict=True)):
+                raw = raw.as_buffer().to_pybytes()
+                for k in range((at - hi) // RUN, (at - lo) // RUN + 1):
+                    near, far = max(k * RUN, at - hi), min(k * RUN + RUN - 1, at - lo)
+                    c = at - k * RUN - lo
+                    core.append(xxhash.xxh3_128_digest(raw[c : c - RUN + 1 + LENGTH], k))
+                    whole.append(xxhash.xxh3_128_digest(raw[at - far - lo : at - near - lo + LENGTH], near << 16 | far))
+                    row.append(i)
+                    first.append(at - far)
+                    last.append(at - near)
+            if row:
+                c, w, at = _digests(core), _digests(whole), pa.array(row)
+                cols = [pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(w[:, 0]), pa.array(w[:, 1]), *(b.column(x).take(at) for x in ("cid", "doc_id", "key", "n")), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["c1", "c2", "w1", "w2", "cid", "doc_id", "key", "n", "first", "last"])
+
+    return contexts.select("cid", "doc_id", "key", "n", "at", "lo", "hi", "bytes").mapInArrow(run, _RUNS)
+
+
+def _strings(rows: DataFrame) -> DataFrame:
+    """(g1, g2, n, doc_id, key, start) of every 200-byte string of runs (lo, first, last, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lo, first, last = (b.column(c).to_numpy() for c in ("lo", "first", "last"))
+            count = last.astype(np.int64) - first + 1
+            row = np.repeat(np.arange(len(lo)), count)
+            start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            raw = [x.as_buffer().to_pybytes() for x in b.column("bytes")]
+            if len(row):
+                g = _digests(xxhash.xxh3_128_digest(raw[i][p : p + LENGTH]) for i, p in zip(row.tolist(), (start - lo[row]).tolist(), strict=True))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(g[:, 0]), pa.array(g[:, 1]), *(b.column(c).take(at) for c in ("n", "doc_id", "key")), pa.array(start.astype(np.int32))], ["g1", "g2", "n", "doc_id", "key", "start"])
+
+    return rows.select("n", "doc_id", "key", "lo", "first", "last", "bytes").mapInArrow(run, "g1 long, g2 long, n long, doc_id long, key long, start int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, spans): per document with repeats, the [start, end) byte spans of repeated strings, unmerged."""
+    """(doc_id, key, spans): per document with repeats, the [a, b) byte spans of repeated strings, unmerged."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
+    until = lambda c: (F.col(c) + LENGTH).alias("b")
     firsts = _gram_hashes(keyed).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     table = spark.sparkContext.broadcast(_bit_table(firsts))
-    seconds = common.saved(_second_ranks(keyed, table), "suffix-ranks")
+    seconds = common.Saved(_second_ranks(keyed, table), "suffix-ranks")
 
-    classes = seconds.groupBy("h", "r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "lo", "hi")).alias("rep"))
-    classes = common.saved(classes, "suffix-classes")
-    shared = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
-    unclear = classes.join(shared, "h", "left_semi").select("rep.*", "n")
+    classes = common.Saved(seconds.df.groupBy("h", "r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "at", "lo", "hi")).alias("rep")), "suffix-classes")
+    whole = common.Saved(seconds.df.join(classes.df.where("n > 1").select("r1", "r2"), ["r1", "r2"], "left_semi").select("doc_id", "key", F.col("lo").alias("a"), until("hi")), "suffix-whole")
+    seconds.drop()
 
-    reps = unclear.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("reps"))
+    shared = classes.df.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
+    reps = classes.df.join(shared, "h", "left_semi").select("rep.*", "n").groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "lo", "hi", "n")).alias("reps"))
     same = keyed["doc_id"].eqNullSafe(reps["doc_id"]) & (keyed["key"] == reps["key"])
-    texts = keyed.join(reps, same).select(keyed["doc_id"], keyed["key"], "text", "reps")
-    strings = common.saved(_strings(texts), "suffix-strings")
+    contexts = _contexts(keyed.join(reps, same).select(keyed["doc_id"], keyed["key"], "text", "reps"))
     # Rows equal in identifier and text list the same representatives; their classes count 2 or more as it is.
-    twice = strings.groupBy("g1", "g2").agg(F.sum("n").alias("all")).where("all > 1").select("g1", "g2")
-    single = strings.where("n = 1").join(twice, ["g1", "g2"], "left_semi").select("doc_id", "key", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b"))
-
-    whole = seconds.join(classes.where("n > 1").select("r1", "r2"), ["r1", "r2"], "left_semi").select("doc_id", "key", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
-    return whole.unionByName(single).groupBy("doc_id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    contexts = common.Saved(contexts.withColumn("cid", F.monotonically_increasing_id()), "suffix-contexts")
+    classes.drop()
+
+    kinds = common.Saved(_runs(contexts.df).groupBy("c1", "c2", "w1", "w2").agg(F.sum("n").alias("n"), F.min(F.struct("cid", "first", "last")).alias("rep")), "suffix-kinds")
+    runs = _runs(contexts.df.where("n = 1")).join(kinds.df.where("n > 1").select("w1", "w2"), ["w1", "w2"], "left_semi").select("doc_id", "key", F.col("first").alias("a"), until("last"))
+    shared = kinds.df.groupBy("c1", "c2").agg(F.count("*").alias("kinds")).where("kinds > 1").select("c1", "c2")
+    left = kinds.df.join(shared, ["c1", "c2"], "left_semi").select("rep.*", F.col("n").alias("of"))
+    left = left.join(contexts.df, "cid").select(F.col("of").alias("n"), "doc_id", "key", "lo", "first", "last", "bytes")
+    strings = common.Saved(_strings(left), "suffix-strings")
+    twice = strings.df.groupBy("g1", "g2").agg(F.sum("n").alias("all")).where("all > 1").select("g1", "g2")
+    single = strings.df.where("n = 1").join(twice, ["g1", "g2"], "left_semi").select("doc_id", "key", F.col("start").alias("a"), until("start"))
+
+    spans = whole.df.unionByName(runs).unionByName(single).groupBy("doc_id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = common.Saved(spans, "suffix-spans")
+    for t in (whole, contexts, kinds, strings):
+        t.drop()
+    return spans.df
 
 
 def _cut(spans: list[dict], n: int) -> list[tuple[int, int]]:
