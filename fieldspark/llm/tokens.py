@@ -7,12 +7,13 @@ its range as a stream and writes shard files.  A shard holds
   length, value length as varints, key suffix, value).  The key is the
   identifier as 8 big-endian bytes with the sign bit flipped, preceded by 1
   (a null identifier is the single byte 0), so byte order is identifier order;
-  the value is the document's ids as little-endian unsigned 32-bit integers.
-  The first key of a block is whole;
+  the value is the document's ids as little-endian unsigned integers of 2 bytes,
+  or of 4 for vocabularies beyond 65,536 ids.  The first key of a block is
+  whole, and a block is one Zstandard frame;
 * a Bloom filter over the keys, 10 bits a key, 7 probes from one 128-bit hash;
 * a sparse index: for each block its first key, offset and length;
 * a footer of fixed size: offsets and lengths of filter and index, number of
-  documents and of ids, and a magic word.
+  documents and of ids, bytes an id, and a magic word.
 
 A lookup reads the footer, asks the filter, finds the block by binary search
 in the index and scans one block.  Files are written under another name and
@@ -36,6 +37,7 @@ from typing import BinaryIO
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,8 @@ from . import common, textvec
 END_ID = 1
 BLOCK = 32 << 10
 SHARD = 32 << 20
-FOOTER = struct.Struct("<QQQQQQ8s")
-MAGIC = b"FSTOKEN1"
+FOOTER = struct.Struct("<QQQQQQI8s")
+MAGIC = b"FSTOKEN2"
 TABLE_BITS = 21
 VOCABULARY = "word_bpe_49k.json"
 
@@ -216,14 +218,16 @@ def _probes(key: bytes, bits: int) -> list[int]:
 class Writer:
     """Writes one shard to a binary stream; entries must come in key order."""
 
-    def __init__(self, out: BinaryIO):
+    def __init__(self, out: BinaryIO, width: int = 4):
+        self.width, self.zip = width, zstandard.ZstdCompressor(level=1)
         self.out, self.at, self.block, self.last = out, 0, bytearray(), b""
         self.index: list[tuple[bytes, int, int]] = []
         self.keys: list[bytes] = []
         self.head = b""
         self.n_ids = 0
 
-    def add(self, key: bytes, ids: bytes) -> None:
+    def add(self, key: bytes, ids: np.ndarray) -> None:
+        ids = ids.astype(f"<u{self.width}").tobytes()
         if len(self.block) >= BLOCK:
             self._flush()
         shared = 0
@@ -235,12 +239,13 @@ class Writer:
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(ids)) + key[shared:] + ids
         self.last = key
         self.keys.append(key)
-        self.n_ids += len(ids) // 4
+        self.n_ids += len(ids) // self.width
 
     def _flush(self) -> None:
-        self.out.write(self.block)
-        self.index.append((self.head, self.at, len(self.block)))
-        self.at += len(self.block)
+        frame = self.zip.compress(bytes(self.block))
+        self.out.write(frame)
+        self.index.append((self.head, self.at, len(frame)))
+        self.at += len(frame)
         self.block = bytearray()
 
     def close(self) -> None:
@@ -253,7 +258,7 @@ class Writer:
                 bloom[p >> 3] |= 1 << (p & 7)
         index = b"".join(_varint(len(k)) + k + _varint(a) + _varint(n) for k, a, n in self.index)
         self.out.write(bytes(bloom) + index)
-        self.out.write(FOOTER.pack(self.at, len(bloom), self.at + len(bloom), len(index), len(self.keys), self.n_ids, MAGIC))
+        self.out.write(FOOTER.pack(self.at, len(bloom), self.at + len(bloom), len(index), len(self.keys), self.n_ids, self.width, MAGIC))
 
 
 class Reader:
@@ -263,7 +268,7 @@ class Reader:
         self.src = src
         size = src.seek(0, 2)
         src.seek(size - FOOTER.size)
-        bloom_at, bloom_n, index_at, index_n, self.n_docs, self.n_ids, magic = FOOTER.unpack(src.read(FOOTER.size))
+        bloom_at, bloom_n, index_at, index_n, self.n_docs, self.n_ids, self.width, magic = FOOTER.unpack(src.read(FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
         src.seek(bloom_at)
@@ -278,31 +283,31 @@ class Reader:
             n, i = _read_varint(raw, i)
             self.index.append((key, at, n))
 
-    def _block(self, k: int) -> Iterator[tuple[bytes, memoryview]]:
+    def _block(self, k: int) -> Iterator[tuple[bytes, np.ndarray]]:
         _, at, n = self.index[k]
         self.src.seek(at)
-        raw, i, key = memoryview(self.src.read(n)), 0, b""
-        while i < n:
+        raw, i, key = memoryview(zstandard.ZstdDecompressor().decompress(self.src.read(n))), 0, b""
+        while i < len(raw):
             shared, i = _read_varint(raw, i)
             more, i = _read_varint(raw, i)
             size, i = _read_varint(raw, i)
             key = key[:shared] + bytes(raw[i : i + more])
             i += more
-            yield key, raw[i : i + size]
+            yield key, np.frombuffer(raw[i : i + size], f"<u{self.width}")
             i += size
 
-    def __iter__(self) -> Iterator[tuple[bytes, memoryview]]:
+    def __iter__(self) -> Iterator[tuple[bytes, np.ndarray]]:
         for k in range(len(self.index)):
             yield from self._block(k)
 
-    def get(self, key: bytes) -> list[bytes]:
+    def get(self, key: bytes) -> list[np.ndarray]:
         """The values under ``key``: several if an identifier is repeated, none if it is absent."""
         if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits)):
             return []
         heads = [k for k, _, _ in self.index]
         out = []
         for b in range(max(0, bisect.bisect_left(heads, key) - 1), bisect.bisect_right(heads, key)):
-            out += [bytes(v) for k, v in self._block(b) if k == key]
+            out += [v for k, v in self._block(b) if k == key]
         return out
 
 
@@ -343,7 +348,6 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, n_ranges: int) -
             ids = b.column(0).to_pylist()
             for first, end, buf, offs in textvec.parts(b.column(1), 1 << 19):
                 tokens, at = enc.encode(buf, offs)
-                raw = memoryview(tokens.astype("<u4", copy=False)).cast("B")
                 for j in range(end - first):
                     if shard and shard[0].at >= SHARD:
                         close()
@@ -352,8 +356,8 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, n_ranges: int) -
                         fsys.create_dir(root, recursive=True)
                         name = f"{part:06d}-{len(rows):05d}-{uuid.uuid4().hex}.sst"
                         out = fsys.open_output_stream(f"{root}/.{name}")
-                        shard = Writer(out), out, f"{root}/.{name}", f"{root}/{name}", fsys
-                    shard[0].add(key_of(ids[first + j]), raw[4 * at[j] : 4 * at[j + 1]])
+                        shard = Writer(out, 2 if enc.tok.get_vocab_size() <= 1 << 16 else 4), out, f"{root}/.{name}", f"{root}/{name}", fsys
+                    shard[0].add(key_of(ids[first + j]), tokens[at[j] : at[j + 1]])
         close()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["range", "seq", "path", "n_docs", "n_ids"])
@@ -374,8 +378,8 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     rows: tuple[list, ...] = ([], [], [], [], [])
                     size = 0
                     for key, value in Reader(src):
-                        n = len(value) // 4
-                        for c, v in zip(rows, (id_of(key), start, n, zlib.crc32(value), np.frombuffer(value, "<u4").astype(np.int64) if with_ids else None), strict=True):
+                        n = len(value)
+                        for c, v in zip(rows, (id_of(key), start, n, zlib.crc32(value.astype("<u4").tobytes()), value.astype(np.int64) if with_ids else None), strict=True):
                             c.append(v)
                         start += n
                         size += n
