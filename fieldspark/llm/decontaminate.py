@@ -111,7 +111,7 @@ def space(counts: np.ndarray, sums: np.ndarray) -> Space:
     """Nystrom: A'A ~ B (Omega'B)^-1 B'; whitening divides by the singular values."""
     n = counts.sum()
     idf = np.where(counts > 0, np.log((1 + n) / (1 + counts)), np.log(1 + n))
-    idf = (idf / max(idf.max(), 1e-9)) ** 2
+    idf = np.maximum((idf / max(idf.max(), 1e-9)) ** 2, 1e-4)  # a test matrix divided by it must stay finite
     test = _test_matrix().astype(float)
     b = idf[:, None] * sums
     shift = 1e-7 * np.linalg.norm(b) + 1e-12
@@ -122,7 +122,7 @@ def space(counts: np.ndarray, sums: np.ndarray) -> Space:
     w = np.maximum(w, 1e-9 * w.max())
     f = b @ (q / np.sqrt(w)) @ q.T
     u, s, _ = np.linalg.svd(f, full_matrices=False)
-    keep = s > 1e-4 * s[0]
+    keep = s > max(1e-4 * s[0], 1e-12)
     return Space(idf, (idf[:, None] * u[:, keep] / s[keep]).astype(np.float32))
 
 
