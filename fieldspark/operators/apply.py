@@ -14,15 +14,23 @@ from pyspark.sql import functions as F
 EPS = 2.220446049250313e-16
 
 
-def _to_all(sums: DataFrame, dst: DataFrame, fill: dict[str, Column]) -> DataFrame:
-    return dst.select("row").join(sums, "row", "left").select("row", *[f.alias(c) for c, f in fill.items()])
+def _summed(terms: DataFrame, dst: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Sums of ``sums`` by row for exactly the rows of ``dst``.
+
+    Destination rows enter the aggregation as zeros beside the terms, so rows
+    without weights need no join: one shuffle of partial sums serves all.
+    """
+    names = list(sums)
+    some = terms.select("row", *[c.cast("double").alias(n) for n, c in sums.items()], F.lit(0).alias("_own"))
+    none = dst.select("row", *[F.lit(0.0).alias(n) for n in names], F.lit(1).alias("_own"))
+    out = some.unionByName(none).groupBy("row").agg(*[F.sum(n).alias(n) for n in names], F.max("_own").alias("_own"))
+    return out.where("_own = 1").drop("_own")
 
 
 def apply(weights: DataFrame, src: DataFrame, dst: DataFrame, values: list[str] | None = None) -> DataFrame:
     """dst[row] = sum of w * src[col] for each value column; rows without weights get 0."""
     values = values or [c for c in src.columns if c != "col"]
-    sums = weights.join(src, "col").groupBy("row").agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
-    return _to_all(sums, dst, {v: F.coalesce(v, F.lit(0.0)) for v in values})
+    return _summed(weights.join(src, "col"), dst, {v: F.col("w") * F.col(v) for v in values})
 
 
 def nan_apply(weights: DataFrame, src: DataFrame, dst: DataFrame, na_thres: float = 1.0, values: list[str] | None = None) -> DataFrame:
@@ -33,18 +41,17 @@ def nan_apply(weights: DataFrame, src: DataFrame, dst: DataFrame, na_thres: floa
     are NaN.  Null values count as NaN.
     """
     values = values or [c for c in src.columns if c != "col"]
-    ok = {v: F.col(v).isNotNull() & ~F.isnan(v) for v in values}
-    aggs = [F.sum("w").alias("_total")]
+    sums = {"_total": F.col("w")}
     for v in values:
-        aggs += [F.sum(F.when(ok[v], F.col("w") * F.col(v))).alias(v), F.sum(F.when(ok[v], F.col("w"))).alias(f"_w_{v}")]
-    sums = weights.join(src, "col").groupBy("row").agg(*aggs)
-    nan = F.lit(float("nan"))
-    fill = {}
+        ok = F.col(v).isNotNull() & ~F.isnan(v)
+        sums |= {v: F.when(ok, F.col("w") * F.col(v)).otherwise(0.0), f"_w_{v}": F.when(ok, F.col("w")).otherwise(0.0)}
+    got = _summed(weights.join(src, "col"), dst, sums)
+    out = []
     for v in values:
-        w = F.coalesce(f"_w_{v}", F.lit(0.0))
-        kept = (F.col("_total") != 0) & (w != 0) & (w / F.col("_total") >= 1 - na_thres - 1e-6)
-        fill[v] = F.coalesce(F.when(kept, F.col(v) / w), nan)
-    return _to_all(sums, dst, fill)
+        w, total = F.col(f"_w_{v}"), F.col("_total")
+        kept = (total != 0) & (w != 0) & (w / total >= 1 - na_thres - 1e-6)
+        out.append(F.when(kept, F.col(v) / w).otherwise(F.lit(float("nan"))).alias(v))
+    return got.select("row", *out)
 
 
 def masked_apply(weights: DataFrame, src: DataFrame, dst: DataFrame, value: str = "value") -> DataFrame:
@@ -132,9 +139,8 @@ def total_weights(weights: DataFrame) -> DataFrame:
 
 def categorical_fractions(weights: DataFrame, src: DataFrame, dst: DataFrame, categories: list) -> DataFrame:
     """One column fraction_<category> a category: the weight of the cells that hold it."""
-    cols = {f"fraction_{c}": c for c in categories}
-    sums = weights.join(src, "col").groupBy("row").agg(*[F.sum(F.when(F.col("category") == c, F.col("w")).otherwise(0.0)).alias(n) for n, c in cols.items()])
-    return _to_all(sums, dst, {n: F.coalesce(n, F.lit(0.0)) for n in cols})
+    cols = {f"fraction_{c}": F.when(F.col("category") == c, F.col("w")).otherwise(0.0) for c in categories}
+    return _summed(weights.join(src, "col"), dst, cols)
 
 
 def categories(src: DataFrame, limit: int = 10_000) -> list:
