@@ -66,6 +66,11 @@ def halo_apply(weights: DataFrame, local: DataFrame, halo: DataFrame, dst: DataF
     return apply(weights, local.unionByName(far), dst)
 
 
+def gathered_apply(weights: DataFrame, gather, dst: DataFrame) -> DataFrame:
+    """Apply over what ``gather(cols)`` returns as (col, value) for the needed columns; it is called once."""
+    return apply(weights, gather(weights.select("col").distinct()), dst)
+
+
 def to_csr(weights: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
     """(row_ptr: row, start, end; entries: row, col, w sorted by row, col); duplicates stay.
 

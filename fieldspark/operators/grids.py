@@ -242,6 +242,31 @@ def named_regular(n: int) -> Regular:
     return Regular(ni, nj, -180.0, -90.0, 360.0 / ni, 180.0 / nj)
 
 
+# Numbered global grids, as columns, rows and spacing in degrees from (-180, -90).
+NUMBERED = {3: (360, 181, 1.0), 4: (720, 361, 0.5)}
+
+
+def numbered_grid(name: str) -> Regular:
+    """The regular grid of a name such as grid4; projected numbers without bounds are not known."""
+    m = re.fullmatch(r"grid(\d+)", name)
+    if not m or int(m[1]) not in NUMBERED:
+        raise ValueError(f"unknown grid {name!r}")
+    ni, nj, d = NUMBERED[int(m[1])]
+    return Regular(ni, nj, -180.0, -90.0, d, d)
+
+
+def crosses_dateline(ring: Column) -> Column:
+    """Whether neighbouring vertices differ by more than 180 degrees of longitude."""
+    n = F.size(ring)
+    return F.exists(F.sequence(F.lit(1), n), lambda i: F.abs(F.element_at(ring, i).lon - F.element_at(ring, (i % n + 1).cast("int")).lon) > 180)
+
+
+def unwrap(ring: Column) -> Column:
+    """The ring with longitudes moved by 360 to the side of its first vertex."""
+    base = F.element_at(ring, 1).lon
+    return F.transform(ring, lambda p: F.struct((p.lon - F.round((p.lon - base) / 360) * 360).alias("lon"), p.lat.alias("lat")))
+
+
 def gaussian_mesh(spark: SparkSession, name: str) -> DataFrame:
     """mesh_cell (cell_id, ring): quads between neighbouring rings; F has 4n a band, O and N as many as the longer ring has points.
 

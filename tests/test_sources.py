@@ -67,3 +67,37 @@ def test_files(tmp_path):
     files.write_bytes(f"file://{tmp_path}/x/y.bin", b"abc")
     assert files.read_bytes(f"{tmp_path}/x/y.bin", 1, 1) == b"b" and files.size(f"{tmp_path}/x/y.bin") == 3
     assert files.listing(f"{tmp_path}/x") == [f"{tmp_path}/x/y.bin"]
+
+
+def test_weight_blob(spark):
+    from fieldspark.sources import weightblob as wb
+
+    m = wb.Matrix(np.array([0.5, 0.25]), np.array([0, 1]), np.array([1, 0]), np.ones(2), np.array([1.0, 0.5]), np.full(2, 3.0), np.full(2, 4.0))
+    raw = wb.serialize(m)
+    assert len(raw) == 40 + 8 * (3 * 2 + 2 + 2 + 2 + 2)
+    back = wb.Matrix.of(*wb.deserialize(raw).tables(spark))
+    assert wb.serialize(back) == raw
+    for bad in (raw[:-1], b"x" + raw[1:], raw[:20]):
+        with pytest.raises(ValueError):
+            wb.deserialize(bad)
+
+
+def test_versions(spark, tmp_path):
+    from fieldspark.sources.versions import Versions
+
+    v = Versions(spark, str(tmp_path / "t"))
+    for n in (3, 5, 7):
+        v.publish(spark.range(n))
+    old = v.read(2)
+    assert v.read().count() == 7 and old.count() == 5
+    v.rotate(2)
+    with pytest.raises(LookupError):
+        v.read(1)
+
+
+def test_numbered_grid():
+    from fieldspark.operators import grids
+
+    assert grids.numbered_grid("grid4").ni == 720
+    with pytest.raises(ValueError):
+        grids.numbered_grid("grid130")
