@@ -10,14 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> DataFrame:
+def _learnable(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    return labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int, balanced: bool = False) -> DataFrame:
     """(text, y) of at most ``limit`` labelled documents that ``learn`` admits, chosen by hash of the identifier.
 
-    Labels that are null or not 0/1 teach nothing.  The identifiers that are
-    broadcast number ``limit`` at most.
+    ``balanced`` takes at most half of them from either class.  Labels that are
+    null or not 0/1 teach nothing.  The identifiers that are broadcast number
+    ``limit`` at most.
     """
-    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(limit)
+    order = F.xxhash64("doc_id"), "doc_id", "y"
+    ids = _learnable(labels, label, learn)
+    if balanced:
+        ids = ids.where("y = 1").orderBy(*order).limit(limit // 2).unionByName(ids.where("y = 0").orderBy(*order).limit(limit // 2))
+    else:
+        ids = ids.orderBy(*order).limit(limit)
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("text").cast("string").alias("text"), "y")
 
 

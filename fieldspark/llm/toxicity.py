@@ -10,7 +10,9 @@ whose pairwise part learns that an insult weighs more beside the mention of a
 group.  The fit takes a bounded sample of labelled rows (``LIMIT``), keeps the
 ``TERMS`` terms most associated with the label by chi-square, and runs AdaGrad
 on the logistic loss.  The model has a fixed size and goes to the tasks in the
-function's closure; scoring is one pass without a shuffle.
+function's closure; scoring is one pass without a shuffle.  The sample takes
+at most half its rows from either class, so that rare kinds of toxic text are
+seen; a score is thus the odds between classes of like size.
 
 Edge cases: null and empty texts score what the bias says; without labels of
 both kinds every score is the share of positives (0 without labels); a null
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common, labelled, textvec
 
 BITS = 18
-LIMIT = 12_000
+LIMIT = 8_000
 TERMS = 2048
 PREFIXES = (4, 5, 6)
 FACTORS = 8
@@ -88,7 +90,7 @@ def _raw(bias: float, w: np.ndarray, v: np.ndarray, doc: np.ndarray, term: np.nd
     return bias + q[:, 0] + 0.5 * ((s**2).sum(1) - q[:, 1])
 
 
-def fit(y: np.ndarray, row: np.ndarray, term: np.ndarray, epochs: int = 40, rate: float = 0.1, decay: float = 1e-3, seed: int = 3) -> Machine:
+def fit(y: np.ndarray, row: np.ndarray, term: np.ndarray, epochs: int = 60, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> Machine:
     n, pos = len(y), int(y.sum())
     slot = np.full(1 << BITS, -1, np.int16)
     prior = pos / n if n else 0.0
@@ -137,7 +139,8 @@ def fit(y: np.ndarray, row: np.ndarray, term: np.ndarray, epochs: int = 40, rate
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> Machine:
     """Learns from labelled rows whose crc32(doc_id) mod 3 is not 1."""
-    rows = labelled.sample(docs, labels, "toxic", F.crc32(F.col("doc_id").cast("string")) % 3 != 1, limit)
+    learn = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+    rows = labelled.sample(docs, labels, "toxic", learn, limit, balanced=True)
     y, row, term, _ = labelled.terms(rows, _extract)
     return fit(y, row, term)
 
