@@ -4,8 +4,10 @@ Vectors are normalised and equal ones collapse to a class with a count.  An
 inverted file has coarse centroids (spherical k-means on a bounded sample);
 each class is stored in the list of its nearest centroid with a residual code:
 one of 256 codewords in each of the subspaces.  A class probes a list when the
-boundary between its own cell and the list's is within ``MARGIN`` of the link
-radius, so lists are probed by distance, not by count.  Within a list,
+boundary between its own cell and the list's is within ``MARGIN`` link radii, so lists
+are probed by distance, not by count; as either vector of a pair may find the
+other, a pair is missed only if its ends lie more than that beyond the
+boundary on both sides.  Within a list,
 distances to the codes come from lookup tables (a query's asymmetric
 distances); a code passes if its distance is within the radius plus its own
 stored quantisation error, so the filter loses nothing, and the exact cosine
@@ -42,7 +44,7 @@ LISTS_MAX = 4096
 PER_LIST = 400
 SUBSPACES = 8
 BLOCK = 1024
-MARGIN = 0.6
+MARGIN = 0.3
 
 
 @dataclass
