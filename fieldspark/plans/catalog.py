@@ -345,12 +345,27 @@ def alias_cycle(spark: SparkSession, sf: str) -> DataFrame:
     return _alias(spark, sf, "cycle_last_year")
 
 
-@query("alias_clim")
+_STOP = (11323 - timex.EPOCH_DAY) * timex.DAY  # 2001-01-01
+
+
+def _clim_sql() -> str:
+    base = _cycle_sql("2000").split(" SELECT o_orderkey, CASE")[0]
+    return f"{base}, w AS (SELECT o_orderkey, x, {_ENC} AS s FROM c) SELECT o_orderkey, s AS \"start\", least(s + {_COV.interval}, {_STOP}) AS \"end\", round((x - s) / (least(s + {_COV.interval}, {_STOP}) - s), 6) AS alpha FROM w"
+
+
+@query("alias_clim", _clim_sql())
 def alias_clim(spark: SparkSession, sf: str) -> DataFrame:
     return _alias(spark, sf, "pure_climatology", climatology_year=2000)
 
 
-@query("alias_leap_hold")
+_LEAP = "month(o_orderdate) = 2 AND day(o_orderdate) = 29"
+_FEB28 = f"((year(o_orderdate) - 2026) * 365 + 58) * {timex.DAY}"
+
+
+@query(
+    "alias_leap_hold",
+    f"WITH c AS (SELECT o_orderkey, o_orderdate, (epoch_us(o_orderdate) - {_EPOCH_US}) * 1000 AS x FROM orders) SELECT o_orderkey, CASE WHEN {_LEAP} THEN {_FEB28} WHEN x >= {_COV.end} THEN {_COV.end - _COV.interval} WHEN x < {_COV.start} THEN {_COV.start} ELSE {_ENC} END AS \"start\", CASE WHEN {_LEAP} THEN {_FEB28} + {timex.DAY} WHEN x >= {_COV.end} THEN {_COV.end} WHEN x < {_COV.start} THEN {_COV.start + _COV.interval} ELSE {_ENC} + {_COV.interval} END AS \"end\", round(CASE WHEN {_LEAP} OR x >= {_COV.end} OR x < {_COV.start} THEN 0 ELSE (x - {_ENC}) / {_COV.interval} END, 6) AS alpha FROM c",
+)
 def alias_leap_hold(spark: SparkSession, sf: str) -> DataFrame:
     return _alias(spark, sf, "leap_hold", data_calendar="noleap")
 
@@ -645,3 +660,142 @@ def clip_area(spark: SparkSession, sf: str) -> DataFrame:
     src = grids.gaussian_mesh(spark, "O4").select(F.col("cell_id").alias("col"), "ring")
     dst = grids.with_ring(grids.regular_cells(spark, Regular(24, 6, 0, -45, 15, 15))).select(F.col("cell_id").alias("row"), "ring")
     return weights.conservative(src, dst).select("row", "col", r6("w"))
+
+
+# ------------------------------------------------------------ meshes
+
+
+@query("cell_area", f"SELECT cell_id, round(radians(lon_hi - lon_lo) * (sin(radians(lat_hi)) - sin(radians(lat_lo))), 4) AS area FROM {_cells_sql(Regular.world(144, 72))}")
+def cell_area(spark: SparkSession, sf: str) -> DataFrame:
+    """Polygon areas of small cells, within 1e-4 of the zone formula of their parallels."""
+    c = grids.with_ring(grids.regular_cells(spark, Regular.world(144, 72)))
+    return c.select("cell_id", F.round(grids.ring_area(F.col("ring")), 4).alias("area"))
+
+
+@query("planar_area", "SELECT s_suppkey AS cell_id, round((1 + s_suppkey % 7) * (2 + s_suppkey % 5) / 2.0, 6) AS area, round((1 + s_suppkey % 7) / 3.0, 6) AS cx, round((2 + s_suppkey % 5) / 3.0, 6) AS cy FROM supplier")
+def planar_area(spark: SparkSession, sf: str) -> DataFrame:
+    """Shoelace area and centroid of right triangles."""
+    k = F.col("s_suppkey")
+    p = lambda x, y: F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat"))
+    z = F.lit(0)
+    t = table(spark, sf, "supplier").select(k.alias("cell_id"), F.array(p(z, z), p(1 + k % 7, z), p(z, 2 + k % 5)).alias("ring"))
+    c = grids.ring_centroid(F.col("ring"), spherical=False)
+    return t.select("cell_id", F.round(grids.ring_area(F.col("ring"), spherical=False), 6).alias("area"), F.round(c.getField("lon"), 6).alias("cx"), F.round(c.getField("lat"), 6).alias("cy"))
+
+
+@query("clean_ring", "SELECT s_suppkey AS cell_id, CASE WHEN s_suppkey % 4 = 3 THEN NULL ELSE 3 + s_suppkey % 3 END AS n FROM supplier WHERE s_suppkey % 4 <> 3")
+def clean_ring(spark: SparkSession, sf: str) -> DataFrame:
+    """Rings padded by repeats and closed by their first vertex; every fourth has two vertices only."""
+    k = F.col("s_suppkey")
+    n = F.when(k % 4 == 3, 2).otherwise(3 + k % 3)
+    at = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.when(i < n, i).when(i < 7, n - 1).otherwise(0))
+    b = table(spark, sf, "supplier").select(k.alias("cell_id"), F.transform(at, lambda i: i * 1.5).alias("lons"), F.transform(at, lambda i: i * i * 1.0).alias("lats"))
+    return grids.bounds_mesh(b).select("cell_id", F.size("ring").cast("long").alias("n"))
+
+
+@query("ugrid_triangles", "SELECT range AS cell_id, 2::BIGINT AS n FROM range(20)")
+def ugrid_triangles(spark: SparkSession, sf: str) -> DataFrame:
+    """1-based faces of a 5x4 grid of quads, padded with -1, joined to their nodes and cut into triangles."""
+    nodes = spark.range(30).select((F.col("id") + 1).alias("node_id"), (F.col("id") % 6).cast("double").alias("lon"), (F.expr("id div 6")).cast("double").alias("lat"))
+    a = F.expr("id div 5") * 6 + F.col("id") % 5 + 1
+    faces = spark.range(20).select(F.col("id").alias("cell_id"), F.array(a, a + 1, a + 7, a + 6, F.lit(-1).cast("long")).alias("nodes"))
+    mesh = grids.ugrid_mesh(nodes.withColumn("node_id", F.col("node_id") - 1), faces, 1)
+    return grids.triangulate(mesh).groupBy("cell_id").agg(F.count("*").alias("n"))
+
+
+@query("curvilinear_corners", "WITH c AS (SELECT a.range AS i, b.range AS j FROM range(7) a, range(5) b), e AS (SELECT i, j, (greatest(i - 1, 0) + least(i, 5)) / 2.0 AS x, (greatest(j - 1, 0) + least(j, 3)) / 2.0 AS y FROM c) SELECT i, j, round(x * 2 + y, 6) AS lon, round(y * 3, 6) AS lat FROM e")
+def curvilinear_corners(spark: SparkSession, sf: str) -> DataFrame:
+    c = spark.range(24).select((F.col("id") % 6).alias("i"), (F.expr("id div 6")).alias("j"))
+    c = c.select("i", "j", (F.col("i") * 2.0 + F.col("j")).alias("lon"), (F.col("j") * 3.0).alias("lat"))
+    return grids.curvilinear_corners(c, 6, 4).select("i", "j", r6("lon"), r6("lat"))
+
+
+@query("named_grid_sizes", "SELECT * FROM (VALUES ('F8', 512::BIGINT, 480::BIGINT), ('N8', 544, 552), ('O8', 544, 552), ('R8', 465, 465)) t(name, points, cells)")
+def named_grid_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Points and cells of named grids: O and N have 4N(N+9) points and as many quads a band as its longer ring has points."""
+    out = []
+    for name in ("F8", "N8", "O8", "R8"):
+        points = grids.named_points(spark, name)
+        cells = grids.gaussian_mesh(spark, name) if name[0] != "R" else points
+        out.append(points.agg(F.count("*").alias("points")).crossJoin(cells.agg(F.count("*").alias("cells"))).select(F.lit(name).alias("name"), "points", "cells"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("gaussian_reduced_area", "SELECT round(4 * pi(), 9) AS area, 360::BIGINT AS n")
+def gaussian_reduced_area(spark: SparkSession, sf: str) -> DataFrame:
+    return grids.rule_mesh(spark, "gaussian_reduced", n=6).agg(F.round(F.sum("area"), 9).alias("area"), F.count("*").alias("n"))
+
+
+@query("degenerate_cells", "SELECT s_suppkey AS cell_id, CASE s_suppkey % 3 WHEN 0 THEN 'few_vertices' WHEN 1 THEN 'zero_area' END AS why FROM supplier")
+def degenerate_cells(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    p = lambda x, y: F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat"))
+    ring = F.when(k % 3 == 0, F.array(p(0.0, 0.0), p(1.0, 0.0), p(1.0, 0.0))).when(k % 3 == 1, F.array(p(0.0, 0.0), p(1.0, 0.0), p(2.0, 0.0))).otherwise(F.array(p(0.0, 0.0), p(1.0, 0.0), p(0.0, 1.0)))
+    t = table(spark, sf, "supplier").select(k.alias("cell_id"), ring.alias("ring"))
+    return t.select("cell_id", grids.degenerate(F.col("ring"), grids.ring_area(F.col("ring"), spherical=False)).alias("why"))
+
+
+@query("cap_filter", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a, supplier b WHERE a.s_suppkey < b.s_suppkey AND b.s_suppkey <= 60 AND (b.s_suppkey - a.s_suppkey) * 2 <= 1 + a.s_suppkey % 5 + b.s_suppkey % 5")
+def cap_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Caps along the equator two degrees apart, with radii of half a degree and more."""
+    s = table(spark, sf, "supplier").where("s_suppkey <= 60").select("s_suppkey")
+    lon, r = F.radians(F.col("s_suppkey") * 2.0), F.radians(F.col("s_suppkey") % 5 + 0.5 + 1e-9)
+    cap = lambda p: s.select(F.col("s_suppkey").alias(p), F.cos(lon).alias(f"{p}x"), F.sin(lon).alias(f"{p}y"), F.lit(0.0).alias(f"{p}z"), r.alias(f"{p}r"))
+    return weights.cap_filter(cap("a").join(cap("b"), F.col("a") < F.col("b"))).select("a", "b")
+
+
+# ------------------------------------------------------------ more exchange and sources
+
+
+@query("halo_pattern", "WITH w AS (SELECT DISTINCT l_orderkey % 4 AS rank, l_suppkey % 3 AS owner, l_suppkey AS col FROM lineitem WHERE l_orderkey % 4 <> l_suppkey % 3) SELECT rank, owner, col, row_number() OVER (PARTITION BY rank ORDER BY owner, col) - 1 AS slot FROM w")
+def halo_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    w = li.select(F.col("l_orderkey").alias("row"), F.col("l_suppkey").alias("col"))
+    rows = li.select(F.col("l_orderkey").alias("row")).distinct().withColumn("rank", F.col("row") % 4)
+    cols = li.select(F.col("l_suppkey").alias("col")).distinct().withColumn("owner", F.col("col") % 3)
+    return exchange.halo_pattern(w, rows, cols).withColumn("slot", F.col("slot").cast("long"))
+
+
+@query("gather_replicated", "SELECT row_number() OVER (ORDER BY l_linenumber, l_orderkey, l_partkey) - 1 AS pos, l_linenumber AS level, l_orderkey AS j, l_partkey AS i FROM lineitem")
+def gather_replicated(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("rank"), F.col("l_linenumber").alias("level"), F.col("l_orderkey").alias("j"), F.col("l_partkey").alias("i"))
+    return exchange.gather_replicated(b).select("pos", "level", "j", "i")
+
+
+@query("split_communicator", "SELECT n_regionkey AS color, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey * 7 % 25, n_nationkey) - 1 AS new_rank, n_nationkey AS rank FROM nation")
+def split_communicator(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("rank"), F.col("n_regionkey").alias("color"), (F.col("n_nationkey") * 7 % 25).alias("key"))
+    return exchange.split_communicator(n).withColumn("new_rank", F.col("new_rank").cast("long"))
+
+
+@query("scrip_egress", f"WITH {_W} SELECT col + 1 AS src_address, row + 1 AS dst_address, round(sum(w), 4) AS remap_matrix FROM w0 GROUP BY ALL")
+def scrip_egress(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources import fieldstore
+
+    cell = lambda k: spark.range(1).select(F.col("id").alias(k), *[F.lit(0.0).alias(c) for c in ("clon", "clat", "area", "frac")])
+    links = fieldstore.scrip_egress(_weights(spark, sf), cell("col"), cell("row"), "conservative")["links"]
+    return links.groupBy("src_address", "dst_address").agg(F.round(F.sum("remap_matrix"), 4).alias("remap_matrix"))
+
+
+@query("vertical_two_levels", "SELECT vec_id, round(embedding[1]::DOUBLE + (embedding[2]::DOUBLE - embedding[1]::DOUBLE) * 0.25, 6) AS a, round(embedding[2]::DOUBLE, 6) AS b FROM embeddings")
+def vertical_two_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Two levels make a straight line, whatever the spline."""
+    v = vertical.interpolate(F.slice(F.col("embedding").cast("array<double>"), 1, 2), [10.0, 20.0], [12.5, 20.0])
+    return table(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("a"), F.round(F.get("v", F.lit(1)), 6).alias("b"))
+
+
+@query("format_record", f"SELECT event_id, printf('[RANK:%04d] [%s] %s', (user_id % 16)::INT, {_SEV}, event_type) AS line FROM events")
+def format_record(spark: SparkSession, sf: str) -> DataFrame:
+    sev = F.element_at(F.array(*map(F.lit, logs.SEVERITIES)), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", logs.format_record((F.col("user_id") % 16).cast("int"), sev, F.col("event_type")).alias("line"))
+
+
+@query("coastal", "SELECT range AS row, 1.0::DOUBLE AS total FROM range(64)")
+def coastal(spark: SparkSession, sf: str) -> DataFrame:
+    """Conservative weights with half the source masked: every destination still sums to one."""
+    from .regridder import Mesh, Regridder
+
+    g = Regular(8, 8, 0, -20, 5, 5)
+    src = grids.with_ring(grids.regular_cells(spark, g)).withColumn("mask", (F.col("i") + F.col("j")) % 2).select("cell_id", "ring", "mask")
+    r = Regridder(Mesh(src), Mesh.of_regular(Regular(8, 8, 1, -19, 5, 5)), "conservative", "fracarea").fit(spark)
+    return ap.total_weights(r.weights).select("row", F.round("total", 6).alias("total"))

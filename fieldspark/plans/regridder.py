@@ -56,10 +56,10 @@ class Regridder:
         self.weights: DataFrame | None = None
 
     def fit(self, spark: SparkSession) -> Regridder:
-        w = self._weights(spark)
+        w = self._weights(spark).select("row", "col", "w")
         if self.src.masked or "mask" in (self.src.cells.columns if self.src.cells is not None else []):
             s, d = self.src.table(spark), self.dst.table(spark)
-            w = weights.coastal(w, d.select(F.col("cell_id").alias("row"), "lon", "lat"), s.select(F.col("cell_id").alias("col"), "lon", "lat", "mask"))
+            w = weights.coastal(w.persist(), d.select(F.col("cell_id").alias("row"), "lon", "lat"), s.select(F.col("cell_id").alias("col"), "lon", "lat", "mask"))
         self.weights = w.select("row", "col", "w").persist()
         self._rows = self.dst.table(spark).select(F.col("cell_id").alias("row"))
         return self
