@@ -102,16 +102,17 @@ def paths(tree: DataFrame, branches: int = 1) -> DataFrame:
     known = nodes.select("k", F.col("msg_id").alias("parent_id"), F.lit(1).alias("known"))
     nodes = nodes.join(known, ["k", "parent_id"], "left").select("k", "msg_id", F.when(F.col("known").isNotNull(), F.col("parent_id")).alias("up"), "score")
     nodes = common.saved(nodes, "chat-nodes")
-    steps = []
     # total: scores from the message up to, but without, its ancestor ``up``; depth likewise counts messages.
+    # Messages that have reached their root leave the joins, so a round costs what is still under way.
     reach = nodes.select("k", "msg_id", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
-    while True:
-        reach = common.saved(reach, "chat-reach")
-        if not reach.where("up is not null").limit(1).count():
-            break
-        steps.append(reach.where("up is not null").select("k", "msg_id", "up"))
-        far = reach.select("k", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        reach = reach.join(far, ["k", "up"], "left").select("k", "msg_id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
+    steps, under_way, done = [], reach.where("up is not null"), reach.where("up is null")
+    while under_way.limit(1).count():
+        steps.append(under_way.select("k", "msg_id", "up"))
+        far = done.unionByName(under_way).select("k", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
+        moved = under_way.join(far, ["k", "up"]).select("k", "msg_id", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth"))
+        moved = common.saved(moved, "chat-reach")
+        under_way, done = moved.where("up is not null"), done.unionByName(moved.where("up is null"))
+    reach = done
     parents = nodes.where("up is not null").select("k", F.col("up").alias("msg_id")).distinct()
     leaves = reach.join(parents, ["k", "msg_id"], "left_anti")
     if branches == 1:
