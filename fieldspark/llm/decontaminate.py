@@ -38,7 +38,7 @@ BITS = 13
 RANK = 48
 UNIT = 8
 FIT_UNITS = 4
-COSINE = 0.55
+COSINE = 0.6
 OVERLAP = 0.75
 ANSWER = 0.6
 ITEMS = 2048
@@ -214,18 +214,19 @@ class Search:
         n = len(item.words)
         lo, hi = max(int(first[doc]), start - UNIT - n // 4), min(int(first[doc + 1]), start + item.units * UNIT + UNIT + n // 4)
         window = h[lo:hi].tolist()
-        held = set(window)
-        if sum(x in held for x in item.words.tolist()) < OVERLAP * n:
+        # The cheapest test first: it settles nearly all candidates that only sound alike.
+        if not item.answer and len(item.rare.intersection(window)) < ANSWER * len(item.rare):
             return
-        share = lcs(item.words.tolist(), window) / n
+        held, words = set(window), item.words.tolist()
+        if sum(x in held for x in words) < OVERLAP * n:
+            return
+        share = lcs(words, window) / n
         if share < OVERLAP:
             return
         if item.answer:
             near = h[max(int(first[doc]), lo - 64) : min(int(first[doc + 1]), hi + 64)].tolist()
             if lcs(list(item.answer), near) < len(item.answer):
                 return
-        elif len(item.rare & held) < ANSWER * len(item.rare):
-            return
         found[item.item_id] = max(found.get(item.item_id, 0), share)
 
 
