@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
-Terms are hashed words, lower-cased, and hashed word shapes (runs of capitals,
-small letters, digits and marks), weighted (1 + log count) * idf with document
+Terms are hashed words, lower-cased, hashed word shapes (runs of capitals,
+small letters, digits and marks) and, for words that repeat the word before
+them, terms for the length of the run so far by powers of two, weighted (1 + log count) * idf with document
 frequencies counted over all documents.  A randomised SVD of a bounded sample
 of labelled documents (``LIMIT``) gives the latent space; the sample's vectors
 and labels are broadcast (LIMIT * RANK floats), as is the projection.  Every
@@ -32,6 +33,7 @@ LIMIT = 4000
 RANK = 48
 NEIGHBOURS = 15
 THRESHOLD = 0.3
+_AGAIN = np.uint64(0x5851F42D4C957F2D)
 _SHAPE = np.full(256, ord("m"), np.uint8)
 _SHAPE[48:58] = ord("d")
 _SHAPE[65:91] = ord("C")
@@ -53,8 +55,12 @@ def _terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     at = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(run, out=at[1:])
     shape = textvec.span_hash(textvec.prefix(kind[run]), at[starts], at[ends])
-    h = np.concatenate([word, textvec.mix(shape + np.uint64(1))])
-    return labelled.counted(np.concatenate([doc, doc]), (h >> np.uint64(64 - BITS)).astype(np.int64), BITS)
+    new = np.r_[np.ones(min(len(word), 1), bool), (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])]
+    nth = np.arange(len(word)) - np.maximum.accumulate(np.where(new, np.arange(len(word)), 0))
+    again = np.flatnonzero(nth)
+    level = np.frexp(nth[again].astype(float))[1].astype(np.uint64)
+    h = np.concatenate([word, textvec.mix(shape + np.uint64(1)), textvec.mix(_AGAIN + level)])
+    return labelled.counted(np.concatenate([doc, doc, doc[again]]), (h >> np.uint64(64 - BITS)).astype(np.int64), BITS)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
