@@ -16,11 +16,8 @@ def epoch_window(ts: Column, seconds: int) -> Column:
 
 def tumbling(stream: DataFrame, ts: str, seconds: int, late: str, keys: list[str], aggs: list[Column]) -> DataFrame:
     """Aggregates of a batch or stream by epoch window and keys; rows later than the watermark are left out of a stream."""
-    return stream.withWatermark(ts, late).groupBy(epoch_window(F.col(ts), seconds).alias("w"), *keys).agg(*aggs).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, *[c for c in _names(aggs)])
-
-
-def _names(aggs: list[Column]) -> list[str]:
-    return [a._jc.toString().rsplit(" AS ", 1)[-1].strip("`") for a in aggs]
+    out = stream.withWatermark(ts, late).groupBy(epoch_window(F.col(ts), seconds).alias("w"), *keys).agg(*aggs)
+    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *[c for c in out.columns if c != "w"])
 
 
 def bookend_stream(times: DataFrame, snapshots: DataFrame, coverage: timex.Coverage, profile: str = "linear") -> DataFrame:

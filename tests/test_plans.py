@@ -12,7 +12,7 @@ from fieldspark.plans import cli
 from fieldspark.plans.config import Config, ConfigError
 from fieldspark.plans.pipeline import Orchestrator, PipelineConfig, SlotPool, Stream, parse_interval, parse_pipeline, stream_field, topological_order
 from fieldspark.sources.fieldstore import Dataset
-from fieldspark.streaming.windows import epoch_window
+from fieldspark.streaming.windows import epoch_window, tumbling
 
 TEXT = """
 settings: {max_concurrency: 2, deadlock_timeout: 5, shutdown_timeout: 1}
@@ -126,3 +126,12 @@ def test_exchange_and_logs(spark):
         exchange.halo_ghost(spark.range(1).select(F.lit(0).alias("rank"), F.lit(0).alias("i0")), [3], 2)
     line = spark.range(1).select(logs.format_record(F.lit(3), F.lit("WARN"), F.lit("x")).alias("s")).first()["s"]
     assert line == "[RANK:0003] [WARN] x" and logs.format_trace(["f", "g"]) == "#0 f\n#1 g"
+
+
+def test_tumbling_batch_and_sql_functions(spark):
+    df = spark.createDataFrame([(dt.datetime(2026, 1, 1, 0, 0, 5), "a", 1.0), (dt.datetime(2026, 1, 1, 0, 0, 6), "a", 2.0)], "ts timestamp, k string, v double")
+    out = tumbling(df, "ts", 7, "1 minute", ["k"], [F.sum("v").alias("total"), F.count("*").alias("n")])
+    assert out.columns == ["start", "end", "k", "total", "n"] and out.first()["total"] == 3.0
+    timex.register_sql(spark)
+    r = spark.sql("select ts_window_start(-1, 10) a, ts_alarm_rings(20, 0, 10) b, ts_alarm_next(20, 0, 10) c, ts_days(date'2026-01-02') d").first()
+    assert tuple(r) == (-10, True, 30, 1)
