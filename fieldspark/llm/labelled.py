@@ -30,8 +30,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit:
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("text").cast("string").alias("text"), "y")
 
 
-def terms(rows: DataFrame, extract: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(y, row, term, count) of a bounded sample, gathered to the driver.
+def terms(rows: DataFrame, extract: Callable, counts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(y, row, term, count) of a bounded sample, gathered to the driver; without ``counts`` they stay behind.
 
     ``extract(buf, offs)`` gives (document, term, count) arrays of a slice.
     """
@@ -43,18 +43,17 @@ def terms(rows: DataFrame, extract: Callable) -> tuple[np.ndarray, np.ndarray, n
             for first, end, buf, offs in parts(b.column(0)):
                 d, t, c = extract(buf, offs)
                 cut = np.searchsorted(d, np.arange(end - first + 1))
-                for j in range(end - first):
-                    s = slice(cut[j], cut[j + 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([y[first + j]], pa.int32()), pa.array([t[s].astype("<i4").tobytes()], pa.binary()), pa.array([c[s].astype("<i4").tobytes()], pa.binary())], ["y", "t", "c"])
+                packed = [[x[i:j].astype("<i4").tobytes() for i, j in zip(cut, cut[1:], strict=False)] if kept else [b""] * (end - first) for x, kept in ((t, True), (c, counts))]
+                yield pa.RecordBatch.from_arrays([pa.array(y[first:end], pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["y", "t", "c"])
 
     got = rows.mapInArrow(run, "y int, t binary, c binary").toArrow()
-    t = [np.frombuffer(x, "<i4") for x in got["t"].to_pylist()]
-    c = [np.frombuffer(x, "<i4") for x in got["c"].to_pylist()]
-    order = sorted(range(len(t)), key=lambda i: (t[i].tobytes(), c[i].tobytes()))  # the fit must not depend on the order of tasks
-    y = np.array(got["y"].to_pylist(), np.int64)[order] if order else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(order)), [len(t[i]) for i in order])
-    cat = lambda xs: np.concatenate([xs[i] for i in order]) if order else np.zeros(0, np.int32)
-    return y, row, cat(t), cat(c)
+    t, c = got["t"].to_pylist(), got["c"].to_pylist()
+    order = sorted(range(len(t)), key=lambda i: (t[i], c[i]))  # the fit must not depend on the order of tasks
+    y = got["y"].to_numpy().astype(np.int64)[order] if order else np.zeros(0, np.int64)
+    del got
+    row = np.repeat(np.arange(len(order), dtype=np.int32), [len(t[i]) // 4 for i in order])
+    term, count = (np.frombuffer(b"".join(x[i] for i in order), "<i4") for x in (t, c))
+    return y, row, term, count
 
 
 def counted(doc: np.ndarray, term: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common, labelled, textvec
 
 BITS = 18
-LIMIT = 8_000
+LIMIT = 6_000
 TERMS = 2048
 PREFIXES = (4, 5, 6)
 FACTORS = 8
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> Machine:
     """Learns from labelled rows whose crc32(doc_id) mod 3 is not 1."""
     learn = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     rows = labelled.sample(docs, labels, "toxic", learn, limit, balanced=True)
-    y, row, term, _ = labelled.terms(rows, _extract)
+    y, row, term, _ = labelled.terms(rows, _extract, counts=False)
     return fit(y, row, term)
 
 
