@@ -232,7 +232,9 @@ def scanner(docs: DataFrame, sample: int = SAMPLE) -> Scanner:
     Paragraphs that hold a whole notice are not unknown and are left out.
     """
     known = [h for f in FAMILIES for h in (_hashes(t).tolist() for t in NOTICES[f])]
-    rows = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.explode(F.split("text", "\n")).alias("p"))
+    # The order runs over identifiers alone; the texts of the chosen follow by a join with at most ``sample`` of them.
+    ids = docs.where("text is not null and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.explode(F.split("text", "\n")).alias("p"))
     texts = [r["p"] for r in rows.where("p <> ''").orderBy(F.xxhash64("p"), "p").limit(4 * sample).collect()]
     texts = sorted(set(texts))
     clean = [t for t in texts if not any(decontaminate.lcs(k, _hashes(t).tolist()) >= COVER * len(k) for k in known)]
