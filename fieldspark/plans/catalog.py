@@ -215,7 +215,6 @@ def step_blend(spark: SparkSession, sf: str) -> DataFrame:
 
 _EPOCH_US = timex.EPOCH_DAY * 86400 * 10**6
 _ENS = f"e AS (SELECT event_id, (epoch_us(ts) - {_EPOCH_US}) * 1000 AS t FROM events)"
-_FLOORDIV = "((t - ((t % {n} + {n}) % {n})) // {n})"
 
 
 def _events_ns(spark: SparkSession, sf: str) -> DataFrame:
