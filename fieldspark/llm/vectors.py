@@ -6,8 +6,8 @@ each class is stored in the list of its nearest centroid with a residual code:
 one of 256 codewords in each of the subspaces.  A class probes a list when the
 boundary between its own cell and the list's is within ``MARGIN`` link radii, so lists
 are probed by distance, not by count; as either vector of a pair may find the
-other, a pair is missed only if its ends lie more than that beyond the
-boundary on both sides.  Within a list,
+other, and the distances of both ends of a link to the boundary sum to one
+radius at most, half a radius loses no pair.  Within a list,
 distances to the codes come from lookup tables (a query's asymmetric
 distances); a code passes if its distance is within the radius plus its own
 stored quantisation error, so the filter loses nothing, and the exact cosine
@@ -44,7 +44,7 @@ LISTS_MAX = 4096
 PER_LIST = 400
 SUBSPACES = 8
 BLOCK = 1024
-MARGIN = 0.3
+MARGIN = 0.5
 
 
 @dataclass
@@ -64,7 +64,7 @@ class Index:
         home, d = self.nearest(x)
         # Distance to the plane between two cells: (d_c - d_home) / (2 |c - home|).
         between = np.sqrt(np.maximum(((self.centroids[home][:, None, :] - self.centroids[None]) ** 2).sum(2), 1e-12))
-        near = (d - d[np.arange(len(x)), home][:, None]) / (2 * between) <= MARGIN * radius
+        near = (d - d[np.arange(len(x)), home][:, None]) / (2 * between) <= MARGIN * radius + 1e-9
         near[np.arange(len(x)), home] = True
         return home, [np.flatnonzero(r) for r in near]
 

@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from fieldspark.llm import vectors
+
 from . import brute
 from .test_llm import make, prose
 
@@ -43,3 +46,20 @@ def test_near_duplicate_stage_groups_by_similarity(spark):
     assert kept.columns == make(spark, texts).columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
     assert stage(spark, make(spark, texts).where(F.lit(False)), "").count() == 0
+
+
+# ------------------------------------------------------------ 3 vectors: links across many lists
+
+
+def test_probes_find_every_link_of_low_dimensional_vectors():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(4000, 3)) @ rng.normal(size=(3, 64)), rng.normal(size=(1000, 64))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ix = vectors.train(x, 400 * vectors.PER_LIST)
+    assert len(ix.centroids) == 400
+    home, probes = ix.probes(x, float(np.sqrt(2 - 2 * vectors.COSINE)))
+    asked = np.zeros((len(x), len(ix.centroids)), bool)
+    for i, p in enumerate(probes):
+        asked[i, p] = True
+    i, j = np.nonzero(np.triu(x @ x.T >= vectors.COSINE, 1))
+    assert len(i) > 10_000 and (asked[i, home[j]] | asked[j, home[i]]).all()
