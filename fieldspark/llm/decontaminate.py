@@ -9,7 +9,9 @@ them: with A = A0 W and W Omega = Omega0, the pass needs A0 alone.
 
 A second pass slides windows of an item's own length, a block at a time, and
 takes as candidates those whose latent cosine to the item is ``COSINE`` or
-more.  A candidate counts if the longest common subsequence of words covers
+more, and every other window that holds as many of the item's rarest words (of
+all its words, if it has an answer) as the rule below asks for, so that the
+latent gate loses no match.  A candidate counts if the longest common subsequence of words covers
 ``OVERLAP`` of the item within the window, and the answer check holds: the
 item's answer occurs near the window or, for items without an answer, most of
 the item's rarest words do.  Items are taken in batches of ``ITEMS`` so that
@@ -183,6 +185,38 @@ class Search:
         self.by_units: dict[int, np.ndarray] = {}
         for u in sorted({i.units for i in self.items}):
             self.by_units[u] = np.array([k for k, i in enumerate(self.items) if i.units == u])
+        n = np.array([len(i.words) for i in self.items])
+        keys = [np.unique(i.words) if i.answer else np.array(sorted(i.rare), np.uint64) for i in self.items]
+        share = np.array([OVERLAP * len(i.words) if i.answer else ANSWER * len(i.rare) for i in self.items])
+        self.need = np.maximum(np.ceil(share - 1e-9).astype(np.int64), 1)
+        self.slack = UNIT + n // 4
+        self.units = np.array([i.units for i in self.items])
+        words, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        order = np.argsort(words, kind="stable")
+        self.words, self.owner = words[order], owner[order]
+
+    def held(self, h: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, block) of every window whose range for the check holds the words that the rule needs."""
+        lo, hi = np.searchsorted(self.words, h, "left"), np.searchsorted(self.words, h, "right")
+        n = hi - lo
+        pos = np.repeat(np.arange(len(h)), n)
+        item = self.owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(pos))]
+        order = np.lexsort((pos, item))
+        pos, item = pos[order], item[order]
+        a = np.arange(len(pos))
+        b = a + self.need[item] - 1
+        a, b = a[b < len(pos)], b[b < len(pos)]
+        doc = textvec.doc_of(first)
+        wide = self.units[item] * UNIT + 2 * self.slack[item]
+        ok = (item[a] == item[b]) & (doc[pos[a]] == doc[pos[b]]) & (pos[b] - pos[a] < wide[a])
+        k, d, p, q = item[a[ok]], doc[pos[a[ok]]], pos[a[ok]], pos[b[ok]]
+        last = np.maximum(np.diff(at)[d] - self.units[k], 0)
+        high = np.minimum((p - first[d] + self.slack[k]) // UNIT, last)
+        low = np.maximum((q - first[d] - self.units[k] * UNIT - self.slack[k]) // UNIT + 1, 0)
+        n = np.maximum(high - low + 1, 0)
+        block = np.repeat(at[d] + low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.unique(np.repeat(k, n) * (at[-1] + 1) + block)
+        return both // (at[-1] + 1), both % (at[-1] + 1)
 
     def find(self, buf: np.ndarray, offs: np.ndarray) -> list[dict[int, float]]:
         """For each document: matched item -> share of the item found."""
@@ -206,6 +240,8 @@ class Search:
                 near = _unit_rows(sums[w]) @ self.vectors[which].T >= COSINE
                 for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True):
                     self._check(out[doc[w[i]]], self.items[which[j]], h, int(starts[w[i]]), first, int(doc[w[i]]))
+        for k, i in zip(*map(np.ndarray.tolist, self.held(h, first, at)), strict=True):
+            self._check(out[doc[i]], self.items[k], h, int(starts[i]), first, int(doc[i]))
         return out
 
     def _check(self, found: dict[int, float], item: Item, h: np.ndarray, start: int, first: np.ndarray, doc: int) -> None:

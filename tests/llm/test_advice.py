@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldspark.llm import vectors
+from fieldspark.llm import decontaminate, textvec, vectors
 
 from . import brute
 from .test_llm import make, prose
@@ -63,3 +63,30 @@ def test_probes_find_every_link_of_low_dimensional_vectors():
         asked[i, p] = True
     i, j = np.nonzero(np.triu(x @ x.T >= vectors.COSINE, 1))
     assert len(i) > 10_000 and (asked[i, home[j]] | asked[j, home[i]]).all()
+
+
+# ------------------------------------------------------------ 9 decontamination: paraphrases
+
+
+def test_no_window_that_meets_the_rule_is_lost(spark):
+    rng = random.Random(14)
+    items = [prose(rng, rng.randint(15, 60)) for _ in range(30)]
+    texts = []
+    for k, text in enumerate(items):
+        for offset in range(8):
+            w = [x if rng.random() > (0.15, 0.2, 0.25)[(k + offset) % 3] else prose(rng, 1) for x in text.split()]
+            texts.append(" ".join([prose(rng, 40 + offset), *w, prose(rng, 60)]))
+    sp = decontaminate.space(*decontaminate.sketch(make(spark, texts)))
+    rows = spark.createDataFrame([(k, t, None if k % 5 else t.split()[0]) for k, t in enumerate(items)], "item_id long, text string, answer string").collect()
+    search = decontaminate.Search(sp, decontaminate.items_of(rows, sp))
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    h, first = textvec.word_hashes(buf, offs, gaps=textvec.MARKS)
+    want = [{} for _ in texts]
+    for d in range(len(texts)):
+        for item in search.items:
+            blocks = -(-(first[d + 1] - first[d]) // decontaminate.UNIT)
+            for b in range(max(1, blocks - item.units + 1)):
+                search._check(want[d], item, h, int(first[d]) + b * decontaminate.UNIT, first, d)
+    assert 60 < sum(map(len, want)) < 10 * len(texts)
+    assert [set(x) for x in search.find(buf, offs)] == [set(x) for x in want]
