@@ -1,7 +1,10 @@
 """Licence scan by a trained paragraph classifier.
 
 A text is cut into paragraphs (lines; a line of over ``LONG`` words also into
-overlapping windows).  A sparse logistic regression over hashed word one- and
+overlapping windows), and windows of ``WRAP`` words slide over adjacent lines,
+so that hard-wrapped notices are met whole; lines without words, comment
+leaders among them, part blocks.  A window across lines counts only where no
+other hit of its family meets it.  A sparse logistic regression over hashed word one- and
 two-grams gives each paragraph a probability for every licence family and for
 the class of unknown text.  It learns from variations of the notices below and
 from paragraphs of a bounded sample of documents (``SAMPLE``) as unknown text.
@@ -29,6 +32,8 @@ from . import common, decontaminate, textvec
 BITS = 15
 SAMPLE = 2000
 LONG = 48
+WRAP = 32
+CONTEXT = 4
 COVER = 0.75
 
 # Customary short notices of public licence families.
@@ -98,24 +103,34 @@ NEAR_MISSES = [
 FAMILIES = sorted(NOTICES)
 
 
-def _paragraphs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, first word, end word and document of each paragraph)."""
+def _paragraphs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, first word, end word and document of each paragraph, whether it is a window across lines)."""
     starts, ends, first = textvec.words(buf, offs, textvec.MARKS)
     h = textvec.span_hash(textvec.prefix(textvec.fold(buf)), starts, ends)
     doc = textvec.doc_of(first)
     lines = np.cumsum(buf == 10)
     if not len(h):
         z = np.zeros(0, np.int64)
-        return h, z, z, z
+        return h, z, z, z, z.astype(bool)
     line = lines[starts]
     a = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])])
     b = np.r_[a[1:], len(h)]
     step = LONG // 2
     n = np.where(b - a > LONG, -(-(b - a - LONG) // step) + 1, 1)
-    row = np.repeat(np.arange(len(a)), n)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    pa_, pb = a[row] + nth * step, np.minimum(a[row] + nth * step + LONG, b[row])
-    return h, pa_, pb, doc[a[row]]
+    of = np.repeat(np.arange(len(a)), n)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    la, lb = a[of] + nth * step, np.minimum(a[of] + nth * step + LONG, b[of])
+    # Blocks of adjacent lines: windows of WRAP words, a quarter apart, that cross a line's end.
+    c = np.flatnonzero(np.r_[True, (line[1:] > line[:-1] + 1) | (doc[1:] != doc[:-1])])
+    e = np.r_[c[1:], len(h)]
+    step = WRAP // 4
+    n = np.where(e - c > WRAP, -(-(e - c - WRAP) // step) + 1, 1)
+    row = np.repeat(np.arange(len(c)), n)
+    wa = c[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step
+    wb = np.minimum(wa + WRAP, e[row])
+    cross = line[wa] != line[wb - 1]
+    wa, wb = wa[cross], wb[cross]
+    return h, np.r_[la, wa], np.r_[lb, wb], np.r_[doc[a[of]], doc[wa]], np.r_[np.zeros(len(la), bool), np.ones(len(wa), bool)]
 
 
 def _grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,17 +162,25 @@ class Scanner:
 
     def scan(self, buf: np.ndarray, offs: np.ndarray) -> list[list[tuple[str, float]]]:
         found: list[list[tuple[str, float]]] = [[] for _ in range(len(offs) - 1)]
-        h, a, b, doc = _paragraphs(buf, offs)
-        for s in range(0, len(a), 1 << 14):
-            e = min(len(a), s + (1 << 14))
-            lo, hi = int(a[s]), int(b[s:e].max())
+        h, a, b, doc, across = _paragraphs(buf, offs)
+        taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        # Lines and windows in parts of their own, each of a narrow range of words.
+        lines = int((~across).sum())
+        cuts = [*range(0, lines, 1 << 14), *range(lines, len(a), 1 << 14), len(a)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            lo, hi = int(a[s:e].min()), int(b[s:e].max())
             z = self.logits(h[lo:hi], a[s:e] - lo, b[s:e] - lo) / self.temperature
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             best = p[:, :-1].argmax(1)
             for i in np.flatnonzero(p[np.arange(e - s), best] >= self.level).tolist():
-                text = h[a[s + i] : b[s + i]].tolist()
+                at = taken.setdefault((int(doc[s + i]), int(best[i])), [])
+                first, end = int(a[s + i]), int(b[s + i])
+                if across[s + i] and any(first < y and x < end for x, y in at):
+                    continue
+                text = h[first:end].tolist()
                 if any(decontaminate.lcs(t, text) >= COVER * len(t) for t in self.notices[best[i]]):
+                    at.append((first, end))
                     found[doc[s + i]].append((FAMILIES[best[i]], float(p[i, best[i]])))
         return found
 
@@ -229,15 +252,22 @@ def train(unknown: list[str], seed: int = 23) -> Scanner:
 def scanner(docs: DataFrame, sample: int = SAMPLE) -> Scanner:
     """Trained with four paragraphs a document of ``sample`` documents as unknown text, both chosen by hash.
 
-    Paragraphs that hold a whole notice are not unknown and are left out.
+    Lines that hold a whole notice, alone or with the ``CONTEXT`` lines before and after, are not unknown and are left out.
     """
     known = [h for f in FAMILIES for h in (_hashes(t).tolist() for t in NOTICES[f])]
     # The order runs over identifiers alone; the texts of the chosen follow by a join with at most ``sample`` of them.
     ids = docs.where("text is not null and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.explode(F.split("text", "\n")).alias("p"))
-    texts = [r["p"] for r in rows.where("p <> ''").orderBy(F.xxhash64("p"), "p").limit(4 * sample).collect()]
-    texts = sorted(set(texts))
-    clean = [t for t in texts if not any(decontaminate.lcs(k, _hashes(t).tolist()) >= COVER * len(k) for k in known)]
+    lines = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.split("text", "\n").alias("ls"))
+    rows = lines.select("ls", F.posexplode("ls").alias("i", "p")).where("p <> ''")
+    around = F.concat_ws("\n", F.slice("ls", F.greatest(F.col("i") - CONTEXT, F.lit(0)) + 1, 2 * CONTEXT + 1))
+    rows = rows.select("p", around.alias("around")).orderBy(F.xxhash64("p"), "p").limit(4 * sample).collect()
+
+    def noticed(text: str) -> bool:
+        h = _hashes(text).tolist()
+        held = set(h)
+        return any(sum(x in held for x in k) >= COVER * len(k) and decontaminate.lcs(k, h) >= COVER * len(k) for k in known)
+
+    clean = sorted({r["p"] for r in rows} - {r["p"] for r in rows if noticed(r["around"])})
     return train(clean)
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldspark.llm import decontaminate, textvec, vectors
+from fieldspark.llm import decontaminate, licenses, textvec, vectors
 
 from . import brute
 from .test_llm import make, prose
@@ -90,3 +90,36 @@ def test_no_window_that_meets_the_rule_is_lost(spark):
                 search._check(want[d], item, h, int(first[d]) + b * decontaminate.UNIT, first, d)
     assert 60 < sum(map(len, want)) < 10 * len(texts)
     assert [set(x) for x in search.find(buf, offs)] == [set(x) for x in want]
+
+
+# ------------------------------------------------------------ 5 licences: hard-wrapped notices
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation.""",
+}
+
+
+def test_hard_wrapped_notices(spark):
+    rng = random.Random(19)
+    plain = [prose(rng, 12) + "\n" + prose(rng, 30) for _ in range(80)]
+    texts, want = list(plain), [None] * len(plain)
+    for family, notice in WRAPPED.items():
+        for lead in ("", "# ", " * ", "// "):
+            block = "\n".join(lead + x for x in notice.split("\n"))
+            texts.append(f"{lead}{prose(rng, 6)}\n{lead.rstrip()}\n{block}\n\n{prose(rng, 30)}")
+            want.append(family)
+    docs = make(spark, texts)
+    model = spark.sparkContext.broadcast(licenses.scanner(docs))
+    got = {r["doc_id"]: [x["family"] for x in r["licences"]] for r in licenses.scanned(docs, model).collect()}
+    assert [got[i] for i in range(len(texts))] == [[f] if f else [] for f in want]
