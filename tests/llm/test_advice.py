@@ -123,3 +123,16 @@ def test_hard_wrapped_notices(spark):
     model = spark.sparkContext.broadcast(licenses.scanner(docs))
     got = {r["doc_id"]: [x["family"] for x in r["licences"]] for r in licenses.scanned(docs, model).collect()}
     assert [got[i] for i in range(len(texts))] == [[f] if f else [] for f in want]
+
+
+# ------------------------------------------------------------ pipeline: one id, two groups
+
+
+def test_a_repeated_id_keeps_a_row_of_each_group(spark):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    rng = random.Random(22)
+    a, b = prose(rng, 50), prose(rng, 50)
+    kept = stage(spark, make(spark, [a, b, a + " end", b + " end"], [5, 5, 6, 7]), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(5, a), (5, b)])
