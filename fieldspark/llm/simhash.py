@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, jaccard
 
 SEED = 42
 BITS = 64
@@ -94,12 +94,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one whose id names it.
-
-    Of rows that repeat that id the one with the least text hash stays.  A row
-    without an id cannot be named by a group, so it stays.
+    """Keeps one row of each group of documents whose 5-word shingles overlap by 4/5 or more.
+
+    Links are SimHash collisions over 5-word shingles with the exact similarity
+    checked, completed by ``jaccard`` with the alike pairs that lie further
+    apart than the ball's radius.  The row that stays has the group's least
+    doc_id (null last), then the least text hash; rows that agree in both are
+    ordered by their other columns.  Null and empty texts are alike; a text of
+    fewer words is one shingle; columns and their names are untouched.
     """
-    heads = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text") and dict(docs.dtypes)[c] in ("string", "bigint", "int", "double")])
-    kept = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    order = spark.sparkContext.broadcast(jaccard.frequent(jaccard.keyed(docs.select("doc_id", "text"))))
+    own = jaccard.keyed(docs.select("doc_id", "text"))
+    rows = common.Saved(jaccard.described(own, order), "simhash-rows")
+    roots = jaccard.grouped(own, rows.df, order, links)
+    least = rows.df.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min(F.struct(*jaccard.KEY)).alias("head"))
+    heads = common.Saved(least.select("head.*"), "simhash-heads")
+    rows.drop()
+    # Columns of the input under names of our own, so that none can clash.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key = jaccard.keyed(docs.toDF(*names).select(*names, F.col(names[docs.columns.index("doc_id")]).alias("doc_id"), F.col(names[docs.columns.index("text")]).alias("text"))).drop("doc_id", "text")
+    other = [F.to_json(F.struct(*[F.col(n) for n, c in zip(names, docs.columns, strict=True) if c not in ("doc_id", "text")]))] if len(names) > 2 else []
+    nth = F.row_number().over(Window.partitionBy(*jaccard.KEY).orderBy(*other, F.lit(0)))
+    kept = key.join(heads.df, jaccard.KEY, "left_semi").withColumn("nth", nth).where("nth = 1")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -17,6 +17,12 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text, k=5):
+    """The set of k-word shingles, ASCII and Latin-1 capitals lowered; a shorter text is one shingle."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\u0100" else c for c in text or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
 def components(n, edges):
     root = list(range(n))
 

@@ -88,13 +88,18 @@ def test_simhash_ball_finds_every_pair_within_two_bits(spark):
 
 
 def test_simhash_stage_and_odd_rows(spark, corpus):
-    docs = make(spark, [*corpus, corpus[0], "lonely words here", None], [*range(len(corpus)), 0, None, None])
+    texts, ids = [*corpus, corpus[0], "lonely words here", None], [*range(len(corpus)), 0, None, None]
+    sets = [brute.shingles(t) for t in texts]
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    groups = set(brute.components(len(texts), edges))
+    docs = make(spark, texts, ids).withColumnsRenamed({"lang": "sig", "score": "nth", "size": "id"})
     kept = simhash.stage(spark, docs, "")
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    heads = {r["component_id"] for r in simhash.near_duplicates(make(spark, corpus)).collect()}
-    assert sorted(i for i in ids if i is not None) == sorted(heads) and ids.count(None) == 2
-    assert simhash.near_duplicates(docs.where("false")).count() == 0
+    rows = kept.collect()
+    assert len(rows) == len(groups)
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted(g for g in groups if g < len(corpus))
+    assert [r["text"] for r in rows if r["doc_id"] is None] == ["lonely words here"]
+    assert simhash.near_duplicates(docs.where("false")).count() == 0 == simhash.stage(spark, docs.where("false"), "").count()
 
 
 # ------------------------------------------------------------ 2 toxicity
