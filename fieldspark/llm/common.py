@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); where it is unset, as in tests, one of our own."""
+    """The folder that the cluster shares (spark.checkpoint.dir); where it is unset and all runs in one process, as in tests, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fieldspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -110,6 +113,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return root
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns _0, _1, ... that clash with no name, and the way back to its own names."""
+    own = [f"_{i}" for i in range(len(df.columns))]
+    back = lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(own, df.columns, strict=True)])
+    return df.toDF(*own), back
+
+
+def own_name(df: DataFrame, column: str) -> str:
+    """The name that ``renamed`` gives a column."""
+    return f"_{df.columns.index(column)}"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

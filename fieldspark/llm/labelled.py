@@ -18,7 +18,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit:
     """(text, y) of at most ``limit`` labelled documents that ``learn`` admits, chosen by hash of the identifier.
 
     ``balanced`` takes at most half of them from either class.  Labels that are
-    null or not 0/1 teach nothing.  The identifiers that are broadcast number
+    null or not 0/1 teach nothing, and of documents that share an identifier the
+    least text teaches.  The identifiers that are broadcast number
     ``limit`` at most.
     """
     order = F.xxhash64("doc_id"), "doc_id", "y"
@@ -27,7 +28,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit:
         ids = ids.where("y = 1").orderBy(*order).limit(limit // 2).unionByName(ids.where("y = 0").orderBy(*order).limit(limit // 2))
     else:
         ids = ids.orderBy(*order).limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("text").cast("string").alias("text"), "y")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids.distinct()), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def terms(rows: DataFrame, extract: Callable, counts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -110,10 +110,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least = rows.df.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min(F.struct(*jaccard.KEY)).alias("head"))
     heads = common.Saved(least.select("head.*"), "simhash-heads")
     rows.drop()
-    # Columns of the input under names of our own, so that none can clash.
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    key = jaccard.keyed(docs.toDF(*names).select(*names, F.col(names[docs.columns.index("doc_id")]).alias("doc_id"), F.col(names[docs.columns.index("text")]).alias("text"))).drop("doc_id", "text")
-    other = [F.to_json(F.struct(*[F.col(n) for n, c in zip(names, docs.columns, strict=True) if c not in ("doc_id", "text")]))] if len(names) > 2 else []
-    nth = F.row_number().over(Window.partitionBy(*jaccard.KEY).orderBy(*other, F.lit(0)))
-    kept = key.join(heads.df, jaccard.KEY, "left_semi").withColumn("nth", nth).where("nth = 1")
-    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    plain, back = common.renamed(docs)
+    doc_id, text = common.own_name(docs, "doc_id"), common.own_name(docs, "text")
+    others = [c for c in plain.columns if c not in (doc_id, text)]
+    key = jaccard.keyed(plain.withColumns({"doc_id": F.col(doc_id), "text": F.col(text)})).drop("doc_id", "text")
+    nth = F.row_number().over(Window.partitionBy(*jaccard.KEY).orderBy(F.to_json(F.struct(*others)) if others else F.lit(0)))
+    return back(key.join(heads.df, jaccard.KEY, "left_semi").withColumn("nth", nth).where("nth = 1"))
