@@ -63,7 +63,8 @@ class Index:
     def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
         home, d = self.nearest(x)
         # Distance to the plane between two cells: (d_c - d_home) / (2 |c - home|).
-        between = np.sqrt(np.maximum(((self.centroids[home][:, None, :] - self.centroids[None]) ** 2).sum(2), 1e-12))
+        c2 = (self.centroids**2).sum(1)
+        between = np.sqrt(np.maximum(c2[home][:, None] + c2 - 2 * self.centroids[home] @ self.centroids.T, 1e-12))
         near = (d - d[np.arange(len(x)), home][:, None]) / (2 * between) <= MARGIN * radius + 1e-9
         near[np.arange(len(x)), home] = True
         return home, [np.flatnonzero(r) for r in near]
@@ -84,10 +85,22 @@ class Index:
         return np.stack([np.maximum((residual[:, c] ** 2).sum(1)[:, None] + (b**2).sum(1) - 2 * residual[:, c] @ b.T, 0) for b, c in zip(self.codebooks, self.splits, strict=True)])
 
 
+def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Nearest centroid of each row, by blocks of rows."""
+    c2 = (c**2).sum(1)
+    return np.concatenate([(c2 - 2 * x[s : s + 1024] @ c.T).argmin(1) for s in range(0, max(len(x), 1), 1024)])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; dividing by the largest component first keeps squares from under- and overflowing."""
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = ((x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * x @ c.T).argmin(1)
+        near = _closest(x, c)
         order = np.argsort(near, kind="stable")
         own, cut = np.unique(near[order], return_index=True)
         c[own] = np.add.reduceat(x[order], cut, axis=0) / np.diff(np.r_[cut, len(x)])[:, None]
@@ -101,7 +114,7 @@ def train(sample: np.ndarray, n_rows: int, seed: int = 5) -> Index:
     k = int(np.clip(n_rows // PER_LIST, 1, min(LISTS_MAX, max(1, len(sample) // 4))))
     centroids = _kmeans(sample, k, 8, rng)
     splits = np.array_split(np.arange(d), min(SUBSPACES, d))
-    near = ((sample**2).sum(1)[:, None] + (centroids**2).sum(1) - 2 * sample @ centroids.T).argmin(1)
+    near = _closest(sample, centroids)
     rest = sample - centroids[near]
     books = []
     for cols in splits:
@@ -129,8 +142,7 @@ def _tiles(index, dim: int, radius: float):
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
-                x = _rows(part.column(2))
-                x /= np.linalg.norm(x, axis=1)[:, None]
+                x = _unit(_rows(part.column(2)))
                 home, probes = ix.probes(x, radius)
                 codes, err = ix.encode(x - ix.centroids[home])
                 n = np.array([len(p) for p in probes])
@@ -178,8 +190,7 @@ def _block(index, cosine: float):
         ix = index.value
         stored = np.asarray(table["stored"].combine_chunks().to_numpy(zero_copy_only=False), bool)
         cid, copies, home = (table[c].to_numpy() for c in ("cid", "copies", "home"))
-        x = _rows(table["vec"].combine_chunks())
-        x /= np.linalg.norm(x, axis=1)[:, None]
+        x = _unit(_rows(table["vec"].combine_chunks()))
         s, q = np.flatnonzero(stored), np.flatnonzero(~stored)
         if not len(s) or not len(q):
             return pa.table({"cid": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "with": pa.array([], pa.int64())})
@@ -236,7 +247,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, seed: int = 5) -
         of = classes.where(F.col("dim") == dim).select("cid", "copies", "vec")
         sample = of.orderBy(F.xxhash64("vec")).limit(SAMPLE).select("vec").toArrow()["vec"].combine_chunks()
         sample = _rows(sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample)
-        sample = sample / np.linalg.norm(sample, axis=1)[:, None]
+        sample = _unit(sample)
         index = spark.sparkContext.broadcast(train(sample, n, seed))
         radius = float(np.sqrt(2 - 2 * cosine))
         tiles = of.mapInArrow(_tiles(index, dim, radius), "list int, stored boolean, cid long, copies long, vec array<double>, home int, code binary, err double, probes array<int>")
