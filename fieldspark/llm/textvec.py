@@ -14,11 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LEN = np.uint64(0xA0761D6478BD642F)
+LONG_WORD = 64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: All ASCII that is neither letter nor digit: words between these carry no punctuation.
@@ -123,10 +125,20 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(h + (ends - starts).astype(np.uint64) * _LEN)
 
 
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``span_hash`` of words; words of over ``LONG_WORD`` bytes by XXH3, as long ones can be made to collide in any polynomial modulo 2**64."""
+    h = span_hash(prefix(buf), starts, ends)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long):
+        raw = buf.tobytes()
+        h[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]]) for i in long.tolist()), np.uint64, len(long))
+    return h
+
+
 def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = True, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (capitals lowered if asked) and each document's first word index."""
     starts, ends, first = words(buf, offs, gaps)
-    return span_hash(prefix(fold(buf) if lower else buf), starts, ends), first
+    return word_hash(fold(buf) if lower else buf, starts, ends), first
 
 
 def doc_of(first: np.ndarray) -> np.ndarray:

@@ -21,7 +21,8 @@ renamed when whole, so a task that is lost or runs twice leaves no half shard;
 the manifest lists only the shards of the tasks that counted.
 
 Edge cases: a null text is empty and holds just the end id; repeated
-identifiers stand next to one another, ordered by text; a null identifier
+identifiers stand next to one another, ordered by their texts' hash (and may
+span shards, so a hot identifier is many ranges); a null identifier
 comes first; an empty table writes no shard; other columns are ignored.
 """
 
@@ -61,7 +62,7 @@ class Encoder:
     The vocabulary's normaliser drops white space and its pre-tokeniser never
     joins over it, so a text's ids are its words' ids in order.  The memo is an
     open-addressed table of 64-bit word hashes in NumPy arrays; ids of a whole
-    slice of texts are gathered at once.  Words not in it go to the tokenizers
+    slice of texts are gathered at once (words of over 64 bytes are hashed by XXH3, which no crafted pair defeats).  Words not in it go to the tokenizers
     library joined by newlines, and its offsets deal the ids back to the words.
     """
 
@@ -140,7 +141,7 @@ class Encoder:
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the slice, each text's followed by the end id, and the n+1 offsets."""
         starts, ends, first = textvec.words(buf, offs)
-        h = textvec.span_hash(textvec.prefix(buf), starts, ends)
+        h = textvec.word_hash(buf, starts, ends)
         h[h == 0] = 1
         entry = self._find(h)
         miss = np.flatnonzero(entry < 0)
@@ -363,7 +364,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, n_ranges: int) -
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["range", "seq", "path", "n_docs", "n_ids"])
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = ordered.repartitionByRange(n_ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = ordered.repartitionByRange(n_ranges, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first())
     return common.saved(ordered.mapInArrow(run, "range int, seq int, path string, n_docs long, n_ids long"), "token-manifest")
 
 
