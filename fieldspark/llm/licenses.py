@@ -10,9 +10,10 @@ the class of unknown text.  It learns from variations of the notices below and
 from paragraphs of a bounded sample of documents (``SAMPLE``) as unknown text.
 Probabilities are calibrated by a temperature fitted on held-out variations,
 and the acceptance level is the least that lets through no held-out unknown
-paragraph.  A prediction counts only if a notice of the same family is found
+paragraph, 0.9 at most.  A prediction counts only if a notice of the same family is found
 in the paragraph: the longest common subsequence of words covers ``COVER`` of
-the notice.
+the notice.  What stands beside the notice is judged again, so a paragraph may
+hold several licences.
 
 Edge cases: null and empty texts hold no licence; an empty table gives an
 empty result; repeated rows are judged alike; other columns are ignored.
@@ -164,6 +165,7 @@ class Scanner:
         found: list[list[tuple[str, float]]] = [[] for _ in range(len(offs) - 1)]
         h, a, b, doc, across = _paragraphs(buf, offs)
         taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        rest: list[tuple[int, int, int, bool]] = []
         # Lines and windows in parts of their own, each of a narrow range of words.
         lines = int((~across).sum())
         cuts = [*range(0, lines, 1 << 14), *range(lines, len(a), 1 << 14), len(a)]
@@ -178,12 +180,38 @@ class Scanner:
                 first, end = int(a[s + i]), int(b[s + i])
                 if across[s + i] and any(first < y and x < end for x, y in at):
                     continue
-                text = h[first:end].tolist()
-                if any(decontaminate.lcs(t, text) >= COVER * len(t) for t in self.notices[best[i]]):
+                if span := self.confirmed(int(best[i]), h[first:end].tolist()):
                     at.append((first, end))
                     found[doc[s + i]].append((FAMILIES[best[i]], float(p[i, best[i]])))
+                    sides = ((first, first + span[0]), (first + span[1], end))
+                    rest += [(x, y, int(doc[s + i]), bool(across[s + i])) for x, y in sides if y - x > 1]
+        # What is left of a paragraph beside a notice may hold another.
+        while rest:
+            x, y, d, wide = rest.pop()
+            z = self.logits(h[x:y], np.array([0]), np.array([y - x]))[0] / self.temperature
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            k = int(p[:-1].argmax())
+            at = taken.setdefault((d, k), [])
+            if p[k] < self.level or any(x < f and e < y and wide for e, f in at):
+                continue
+            if span := self.confirmed(k, h[x:y].tolist()):
+                at.append((x, y))
+                found[d].append((FAMILIES[k], float(p[k])))
+                rest += [(a, b, d, wide) for a, b in ((x, x + span[0]), (x + span[1], y)) if b - a > 1]
         return found
 
+    def confirmed(self, family: int, text: list[int]) -> tuple[int, int] | None:
+        """The narrowest span of the paragraph, from its earliest end, that holds a notice of the family."""
+        for t in self.notices[family]:
+            best = decontaminate.lcs(t, text)
+            if best < COVER * len(t):
+                continue
+            end = next(e for e in range(best, len(text) + 1) if decontaminate.lcs(t, text[:e]) == best)
+            start = next(s for s in range(end - best, -1, -1) if decontaminate.lcs(t, text[s:end]) == best)
+            return start, end
+        return None
+
 
 def _hashes(text: str) -> np.ndarray:
     return decontaminate._word_list(text)[0]
