@@ -15,7 +15,9 @@ in which control strings inside texts and roles are escaped reversibly
 assistant's texts as loss mask.
 
 Edge cases: null text and null role are empty; messages with a null or unknown
-parent are roots; equal scores choose the branch whose leaf comes first in
+parent are roots; where parents run in a circle its least message is a root; of
+messages that repeat an identifier the least row (parent, score, role, text)
+stands, and rows without one are left out; equal scores choose the branch whose leaf comes first in
 (turn, role, text) order; repeated rows are turns of their own; a null
 conv_id is a conversation of its own; other columns are ignored; an empty
 table gives an empty result.  One conversation is one output value, so a path
@@ -95,24 +97,53 @@ def _same(a: DataFrame, b: DataFrame):
     return a["conv_id"].eqNullSafe(b["conv_id"])
 
 
+def _reach(nodes: DataFrame, rounds: int) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """(total and depth of every message, the ancestor tables, what circles after ``rounds`` doublings).
+
+    total sums the scores from the message up to, but without, its ancestor
+    ``up``; depth counts those messages and low is their least.  Messages that
+    have reached their root leave the joins, so a round costs what is still
+    under way.  A message that is under way after as many steps as its
+    conversation has messages circles, and the ancestor it stands at is on the circle.
+    """
+    reach = nodes.select("k", "msg_id", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"), F.col("msg_id").alias("low"))
+    steps, under_way, done = [], reach.where("up is not null"), reach.where("up is null")
+    while under_way.limit(1).count():
+        if len(steps) == rounds:
+            # From the circle's own messages on, the way round passes all of it.
+            on = under_way.select("k", F.col("up").alias("msg_id")).distinct()
+            return done, steps, under_way.join(on, ["k", "msg_id"], "left_semi").select("k", F.col("msg_id").alias("up"), "low")
+        steps.append(under_way.select("k", "msg_id", "up"))
+        far = done.unionByName(under_way).select("k", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"), F.col("low").alias("l2"))
+        moved = under_way.join(far, ["k", "up"]).select("k", "msg_id", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth"), F.least("low", "l2").alias("low"))
+        moved = common.saved(moved, "chat-reach")
+        under_way, done = moved.where("up is not null"), done.unionByName(moved.where("up is null"))
+    return done, steps, None
+
+
+def unique(tree: DataFrame) -> DataFrame:
+    """One row for each (conv_id, msg_id)."""
+    row = F.struct(F.col("parent_id").cast("long").alias("parent_id"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return tree.where("msg_id is not null").groupBy("conv_id", "msg_id").agg(F.min(row).alias("row")).select("conv_id", "msg_id", "row.*")
+
+
 def paths(tree: DataFrame, branches: int = 1) -> DataFrame:
-    """(conv_id, rank, nth, msg_id): messages of the ``branches`` best root-to-leaf paths of each conversation, in order."""
+    """(conv_id, rank, nth, msg_id): messages of the ``branches`` best root-to-leaf paths of each conversation, in order.
+
+    ``tree`` has one row for each message (see ``unique``).
+    """
     key = F.struct(F.col("conv_id").isNull().alias("z"), F.coalesce("conv_id", F.lit(0)).alias("c"))
     nodes = tree.select(key.alias("k"), "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = nodes.select("k", F.col("msg_id").alias("parent_id"), F.lit(1).alias("known"))
     nodes = nodes.join(known, ["k", "parent_id"], "left").select("k", "msg_id", F.when(F.col("known").isNotNull(), F.col("parent_id")).alias("up"), "score")
     nodes = common.saved(nodes, "chat-nodes")
-    # total: scores from the message up to, but without, its ancestor ``up``; depth likewise counts messages.
-    # Messages that have reached their root leave the joins, so a round costs what is still under way.
-    reach = nodes.select("k", "msg_id", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
-    steps, under_way, done = [], reach.where("up is not null"), reach.where("up is null")
-    while under_way.limit(1).count():
-        steps.append(under_way.select("k", "msg_id", "up"))
-        far = done.unionByName(under_way).select("k", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        moved = under_way.join(far, ["k", "up"]).select("k", "msg_id", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth"))
-        moved = common.saved(moved, "chat-reach")
-        under_way, done = moved.where("up is not null"), done.unionByName(moved.where("up is null"))
-    reach = done
+    longest = nodes.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+    reach, steps, circling = _reach(nodes, longest.bit_length() + 1)
+    if circling is not None:
+        roots = circling.where("up = low").select("k", F.col("up").alias("msg_id"), F.lit(True).alias("cut")).distinct()
+        nodes = nodes.join(roots, ["k", "msg_id"], "left").select("k", "msg_id", F.when(F.col("cut").isNull(), F.col("up")).alias("up"), "score")
+        nodes = common.saved(nodes, "chat-nodes")
+        reach, steps, _ = _reach(nodes, longest.bit_length() + 1)
     parents = nodes.where("up is not null").select("k", F.col("up").alias("msg_id")).distinct()
     leaves = reach.join(parents, ["k", "msg_id"], "left_anti")
     if branches == 1:
@@ -130,8 +161,9 @@ def paths(tree: DataFrame, branches: int = 1) -> DataFrame:
 _ROW = "conv_id long, rank int, formatted string, spans array<struct<a: int, b: int>>"
 
 
-def format_paths(tree: DataFrame, branches: int = 1) -> DataFrame:
+def format_paths(tree: DataFrame, branches: int = 1, is_unique: bool = False) -> DataFrame:
     """(conv_id, rank, formatted, spans): each chosen path as one conversation with its loss mask."""
+    tree = tree if is_unique else unique(tree)
     chosen = paths(tree, branches)
     text = tree.select("conv_id", "msg_id", "role", "text")
     rows = chosen.join(text, _same(chosen, text) & (chosen["msg_id"] == text["msg_id"])).select(chosen["conv_id"], "rank", "nth", "role", "text")
@@ -168,4 +200,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)], "conv_id long, turn long, role string, text string")
     tree = common.saved(as_tree(turns.unionByName(more)), "chat-tree")
-    return read_back(common.saved(format_paths(tree), "chat-formatted"))
+    return read_back(common.saved(format_paths(tree, is_unique=True), "chat-formatted"))
