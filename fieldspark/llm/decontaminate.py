@@ -15,8 +15,8 @@ latent gate loses no match.  A candidate counts if the longest common subsequenc
 ``OVERLAP`` of the item within the window, and the answer check holds: the
 item's answer occurs near the window or, for items without an answer, most of
 the item's rarest words do.  Items are taken in batches of ``ITEMS`` so that
-what a task holds is bounded; items longer than ``ITEM_WORDS`` words are cut
-into pieces, each an item.
+what a task holds is bounded.  An item is judged whole however long it is; of
+one over ``LONG`` words the first window that meets the rule settles it.
 
 Edge cases: null and empty texts match nothing; items without words are
 ignored; an empty benchmark or corpus contaminates nothing; repeated rows are
@@ -44,7 +44,7 @@ COSINE = 0.6
 OVERLAP = 0.75
 ANSWER = 0.6
 ITEMS = 2048
-ITEM_WORDS = 64
+LONG = 256
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -94,7 +94,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, sums binary")
     # Two levels, so that no task gathers a sum from every other.
-    first = rows.withColumn("deal", F.floor(F.rand(1) * 16).cast("int")).groupBy("part", "deal").applyInArrow(add, "part int, sums binary")
+    first = rows.withColumn("deal", (F.spark_partition_id() % 16)).groupBy("part", "deal").applyInArrow(add, "part int, sums binary")
     total = np.zeros((1 << BITS, RANK + 1))
     for r in first.groupBy("part").applyInArrow(add, "part int, sums binary").collect():
         total[r["part"] :: 64] = np.frombuffer(r["sums"], np.float64).reshape(-1, RANK + 1)
@@ -148,11 +148,9 @@ def items_of(rows: list, sp: Space) -> list[Item]:
     for r in rows:
         h, t = _word_list(r["text"] or "")
         answer = tuple(_word_list(r["answer"])[0].tolist()) if "answer" in r.asDict() and r["answer"] else ()
-        n = max(1, -(-len(h) // ITEM_WORDS))
-        for part, bucket in zip(np.array_split(h, n), np.array_split(t, n), strict=True):
-            if len(part):
-                order = np.argsort(-sp.idf[bucket], kind="stable")[: max(1, len(part) // 3)]
-                out.append(Item(r["item_id"], part, max(1, round(len(part) / UNIT)), frozenset(part[order].tolist()), answer))
+        if len(h):
+            order = np.argsort(-sp.idf[t], kind="stable")[: max(1, len(h) // 3)]
+            out.append(Item(r["item_id"], h, max(1, round(len(h) / UNIT)), frozenset(h[order].tolist()), answer))
     return out
 
 
@@ -245,9 +243,9 @@ class Search:
         return out
 
     def _check(self, found: dict[int, float], item: Item, h: np.ndarray, start: int, first: np.ndarray, doc: int) -> None:
-        if found.get(item.item_id, 0) == 1:
-            return
         n = len(item.words)
+        if found.get(item.item_id, 0) >= (1 if n <= LONG else OVERLAP):
+            return
         lo, hi = max(int(first[doc]), start - UNIT - n // 4), min(int(first[doc + 1]), start + item.units * UNIT + UNIT + n // 4)
         window = h[lo:hi].tolist()
         # The cheapest test first: it settles nearly all candidates that only sound alike.
@@ -316,6 +314,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found."""
-    out = matched(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.where(F.size("leaks") == 0).select(docs.columns)
+    """Documents in which no benchmark item was found; columns and their names are untouched."""
+    plain, back = common.renamed(docs)
+    out = matched(plain.withColumn("text", F.col(common.own_name(docs, "text"))), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return back(out.where(F.size("leaks") == 0))
