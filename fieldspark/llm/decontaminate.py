@@ -193,8 +193,8 @@ class Search:
         order = np.argsort(words, kind="stable")
         self.words, self.owner = words[order], owner[order]
 
-    def held(self, h: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, block) of every window whose range for the check holds the words that the rule needs."""
+    def held(self, h: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """item * (blocks + 1) + block, ascending, of every window whose range for the check holds the words that the rule needs."""
         lo, hi = np.searchsorted(self.words, h, "left"), np.searchsorted(self.words, h, "right")
         n = hi - lo
         pos = np.repeat(np.arange(len(h)), n)
@@ -213,8 +213,7 @@ class Search:
         low = np.maximum((q - first[d] - self.units[k] * UNIT - self.slack[k]) // UNIT + 1, 0)
         n = np.maximum(high - low + 1, 0)
         block = np.repeat(at[d] + low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.unique(np.repeat(k, n) * (at[-1] + 1) + block)
-        return both // (at[-1] + 1), both % (at[-1] + 1)
+        return np.unique(np.repeat(k, n) * (at[-1] + 1) + block)
 
     def find(self, buf: np.ndarray, offs: np.ndarray) -> list[dict[int, float]]:
         """For each document: matched item -> share of the item found."""
@@ -226,6 +225,8 @@ class Search:
         blocks = np.add.reduceat(self.space.rows[_bucket(h)], starts, axis=0)
         doc = np.repeat(np.arange(len(offs) - 1), np.diff(at))
         sums, have = blocks.copy(), 1
+        held, size = self.held(h, first, at), int(at[-1]) + 1
+        near = np.zeros(len(held), bool)
         for units, which in self.by_units.items():
             while have < units:  # sums[i]: blocks i .. i+have-1 of one document
                 more = np.flatnonzero(at[doc + 1] > np.arange(len(doc)) + have)
@@ -235,10 +236,14 @@ class Search:
             full = np.flatnonzero((at[doc + 1] >= np.arange(len(doc)) + units) | (at[doc] == np.arange(len(doc))))
             for k in range(0, len(full), 4096):
                 w = full[k : k + 4096]
-                near = _unit_rows(sums[w]) @ self.vectors[which].T >= COSINE
-                for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True):
-                    self._check(out[doc[w[i]]], self.items[which[j]], h, int(starts[w[i]]), first, int(doc[w[i]]))
-        for k, i in zip(*map(np.ndarray.tolist, self.held(h, first, at)), strict=True):
+                i, j = np.nonzero(_unit_rows(sums[w]) @ self.vectors[which].T >= COSINE)
+                # Of the candidates, those without the words that the rule needs fail the check; one lookup tells.
+                key = which[j] * size + w[i]
+                place = np.minimum(np.searchsorted(held, key), max(len(held) - 1, 0))
+                near[place[held[place] == key] if len(held) else place[:0]] = True
+        # Candidates by meaning first, then the other windows with those words.
+        for key in [*held[near].tolist(), *held[~near].tolist()]:
+            k, i = divmod(key, size)
             self._check(out[doc[i]], self.items[k], h, int(starts[i]), first, int(doc[i]))
         return out
 
