@@ -247,7 +247,7 @@ def spline_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Per-column coefficients of the tension spline, columns (n, levels) over shared or own levels.
 
     The tridiagonal system is that of second derivatives, so a straight line
-    gets 0: reproduced as the reference results have it.
+    gets 0; the evaluation below takes them as they are.
     """
     n = y.shape[1]
     if n == 2:

@@ -9,6 +9,7 @@ space buckets, never by a comparison of all pairs.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -452,6 +453,20 @@ def cap_filter(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0))) <= F.col("ar") + F.col("br"))
 
 
+def cap_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of caps (ax, ay, az, ar, ...) and (bx, by, bz, br, ...) that meet.
+
+    Centers of meeting caps are within the chord of the largest radii, so they
+    lie in the same or in touching cubes of that side: an equi-join on cubes.
+    """
+    widest = (a.agg(F.max("ar")).first()[0] or 0.0) + (b.agg(F.max("br")).first()[0] or 0.0)
+    side = max(2 * math.sin(min(widest, math.pi) / 2), 1e-9) * (1 + 1e-9)
+    cube = lambda p, o=(0, 0, 0): F.struct(*[(F.floor(F.col(p + c) / side) + F.lit(k)).cast("long").alias(c) for c, k in zip("xyz", o, strict=True)])
+    around = F.explode(F.array(*[cube("b", o) for o in itertools.product((-1, 0, 1), repeat=3)]))
+    met = a.withColumn("_cube", cube("a")).join(b.withColumn("_cube", around), "_cube").drop("_cube")
+    return cap_filter(met)
+
+
 def longitudes_disjoint(src: DataFrame, dst: DataFrame) -> None:
     """Raises where the grids' longitude ranges are disjoint but would meet after a shift by 360."""
     a, b = (d.agg(F.min("lon").alias("lo"), F.max("lon").alias("hi")).first() for d in (src, dst))

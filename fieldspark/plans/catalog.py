@@ -308,9 +308,9 @@ def iso_format(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", "iso", (timex.to_ns(timex.parse_iso(F.col("iso"))) == F.col("t") - F.pmod("t", F.lit(timex.NS["s"]))).alias("same"))
 
 
-@query("gcd_lcm", "SELECT list_aggregate(list(DISTINCT p_size), 'min')::BIGINT AS gcd_value, 26771144400::BIGINT AS lcm_value FROM part WHERE p_size IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25)")
+@query("gcd_lcm", "SELECT list_reduce(list(x), lambda a, b: gcd(a, b))::BIGINT AS gcd_value, list_reduce(list(x), lambda a, b: lcm(a, b))::BIGINT AS lcm_value FROM (SELECT DISTINCT (p_size % 10 + 1) * 6::BIGINT AS x FROM part)")
 def gcd_lcm(spark: SparkSession, sf: str) -> DataFrame:
-    return timex.gcd_lcm(table(spark, sf, "part").where("p_size <= 25"), "p_size")
+    return timex.gcd_lcm(table(spark, sf, "part").select(((F.col("p_size") % 10 + 1) * 6).alias("x")), "x")
 
 
 _COV = timex.Coverage(-27 * 365 * timex.DAY, -25 * 365 * timex.DAY, 5 * timex.DAY)
@@ -369,26 +369,28 @@ def alias_leap_hold(spark: SparkSession, sf: str) -> DataFrame:
     return _alias(spark, sf, "leap_hold", data_calendar="noleap")
 
 
-@query("bookend")
-def bookend(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly mean values by event type as snapshots, blended at ten-minute simulation times."""
-    e = _events_ns(spark, sf).join(table(spark, sf, "events").select("event_id", "event_type"), "event_id")
+_BK = f"e AS (SELECT KEYCOL AS k, value, (epoch_us(ts) - {_EPOCH_US}) * 1000 AS t FROM events), s AS (SELECT k, t - ((t % {timex.NS['h']} + {timex.NS['h']}) % {timex.NS['h']}) AS h, avg(value) AS v FROM e GROUP BY ALL), b AS (SELECT min(h) AS lo, max(h) AS hi FROM s), i AS (SELECT unnest(range(0, (hi - lo) // {600 * 10**9})) * {600 * 10**9} + lo AS n, lo FROM b), w AS (SELECT n, lo + ((n - lo) // {timex.NS['h']}) * {timex.NS['h']} AS h FROM i) SELECT n AS sim_ns, l.k AS KEYNAME, round(l.v * (1 - (n - w.h) / {timex.NS['h']}) + coalesce(r.v, l.v) * ((n - w.h) / {timex.NS['h']}), 6) AS value FROM w JOIN s l ON l.h = w.h LEFT JOIN s r ON r.h = w.h + {timex.NS['h']} AND r.k = l.k"
+
+
+def _bookended(spark: SparkSession, sf: str, key: F.Column) -> DataFrame:
+    """Hourly means by key as snapshots, blended at ten-minute simulation times."""
+    t = (F.unix_micros(F.col("ts").cast("timestamp")) - _EPOCH_US) * 1000
+    e = table(spark, sf, "events").select(key.alias("cell_id"), "value", t.alias("t"))
     hour = timex.NS["h"]
-    snap = e.groupBy(timex.compute_window("t", hour).getField("start").alias("t_ns"), F.crc32("event_type").alias("cell_id")).agg(F.avg("value").alias("value"))
+    snap = e.groupBy(timex.compute_window("t", hour).getField("start").alias("t_ns"), "cell_id").agg(F.avg("value").alias("value"))
     lo, hi = snap.agg(F.min("t_ns"), F.max("t_ns")).first()
     times = spark.range(0, (hi - lo) // (600 * 10**9)).select((F.col("id") * (600 * 10**9) + lo).alias("t_ns"))
-    out = bl.bookend(snap, times, timex.Coverage(lo, hi + hour, hour))
-    return out.select("sim_ns", "cell_id", r6("value"))
+    return bl.bookend(snap, times, timex.Coverage(lo, hi + hour, hour)).select("sim_ns", "cell_id", r6("value"))
 
 
-_BK = f"e AS (SELECT event_type, value, (epoch_us(ts) - {_EPOCH_US}) * 1000 AS t FROM events), s AS (SELECT event_type AS k, t - ((t % {timex.NS['h']} + {timex.NS['h']}) % {timex.NS['h']}) AS h, avg(value) AS v FROM e GROUP BY ALL), b AS (SELECT min(h) AS lo, max(h) AS hi FROM s), i AS (SELECT unnest(range(0, (hi - lo) // {600 * 10**9})) * {600 * 10**9} + lo AS n, lo FROM b), w AS (SELECT n, lo + ((n - lo) // {timex.NS['h']}) * {timex.NS['h']} AS h FROM i)"
-_oracles["bookend_types"] = f"WITH {_BK} SELECT n AS sim_ns, l.k, round(l.v * (1 - (n - w.h) / {timex.NS['h']}) + coalesce(r.v, l.v) * ((n - w.h) / {timex.NS['h']}), 6) AS value FROM w JOIN s l ON l.h = w.h LEFT JOIN s r ON r.h = w.h + {timex.NS['h']} AND r.k = l.k"
+@query("bookend", f"WITH {_BK}".replace("KEYCOL", "user_id % 5").replace("KEYNAME", "cell_id"))
+def bookend(spark: SparkSession, sf: str) -> DataFrame:
+    return _bookended(spark, sf, F.col("user_id") % 5)
 
 
-@query("bookend_types")
+@query("bookend_types", f"WITH {_BK}".replace("KEYCOL", "event_type").replace("KEYNAME", "k"))
 def bookend_types(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "events").select(F.crc32("event_type").alias("cell_id"), F.col("event_type").alias("k")).distinct()
-    return bookend(spark, sf).join(names, "cell_id").select("sim_ns", "k", "value")
+    return _bookended(spark, sf, F.col("event_type")).withColumnRenamed("cell_id", "k")
 
 
 # ------------------------------------------------------------ grids and weights
@@ -481,7 +483,7 @@ def conservative_fracarea(spark: SparkSession, sf: str) -> DataFrame:
     return ap.apply(w.select("row", "col", "w"), _field(spark, sf), _rows(spark, _DST.ni * _DST.nj)).select("row", r6("value", 1))
 
 
-@query("conservation_rect", f"WITH {_overlap_sql(_SRC, _DST)}, {_FIELD_SQL}, r AS (SELECT row, sum(overlap / area * v) AS v, max(area) AS area FROM o JOIN f USING (col) GROUP BY row), a AS (SELECT sum(v * {_AREA}) AS i FROM f JOIN {_cells_sql(_SRC)} ON col = cell_id) SELECT round(i, 1) AS src_integral, round((SELECT sum(v * area) FROM r), 1) AS dst_integral, round(0::DOUBLE, 6) AS rel_error FROM a")
+@query("conservation_rect", f"WITH {_overlap_sql(_SRC, _DST)}, {_FIELD_SQL}, r AS (SELECT row, sum(overlap / area * v) AS v, max(area) AS area FROM o JOIN f USING (col) GROUP BY row), a AS (SELECT sum(v * {_AREA}) AS i FROM f JOIN {_cells_sql(_SRC)} ON col = cell_id) SELECT round(i, 1) AS src_integral, round(t, 1) AS dst_integral, round(abs(t - i) / greatest(abs(t), abs(i)), 6) AS rel_error FROM a, (SELECT sum(v * area) AS t FROM r)")
 def conservation_rect(spark: SparkSession, sf: str) -> DataFrame:
     w = weights.conservative_rect(spark, _SRC, _DST)
     out = ap.apply(w.select("row", "col", "w"), _field(spark, sf), _rows(spark, _DST.ni * _DST.nj))
@@ -516,10 +518,10 @@ def _points(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 _CHORD = "(z.px - x.px) ** 2 + (z.py - x.py) ** 2 + (z.pz - x.pz) ** 2"
 
 
-@query("nearest_knn", f"WITH {_PTS} SELECT row, round(min({_CHORD}), 9) AS d2 FROM z, x GROUP BY row")
+@query("nearest_knn", f"WITH {_PTS} SELECT row, arg_min(col, (round({_CHORD}, 12), col)) AS col, round(min({_CHORD}), 9) AS d2 FROM z, x GROUP BY row")
 def nearest_knn(spark: SparkSession, sf: str) -> DataFrame:
     dst, src = _points(spark, sf)
-    return weights.knn(dst.select("row", "lon", "lat"), src, 1).select("row", r6("d2", 9))
+    return weights.knn(dst.select("row", "lon", "lat"), src, 1).select("row", "col", r6("d2", 9))
 
 
 @query("knn_four", f"WITH {_PTS}, k AS (SELECT row, {_CHORD} AS d, row_number() OVER (PARTITION BY row ORDER BY {_CHORD}, col) AS rank FROM z, x) SELECT row, rank::INT AS rank, round(d, 9) AS d2 FROM k WHERE rank <= 4")
@@ -557,15 +559,18 @@ def adjacency(spark: SparkSession, sf: str) -> DataFrame:
     return weights.adjacency(grids.with_ring(grids.regular_cells(spark, Regular(8, 5, 0, 0, 1, 1, False))))
 
 
-@query("gradient", "SELECT range AS cell, 2.0::DOUBLE AS gx, -3.0::DOUBLE AS gy, 0.5::DOUBLE AS gz FROM range(120)")
+_GP = "p AS (SELECT s_suppkey AS k, (s_suppkey * 7 % 19) / 4 AS x, (s_suppkey * 11 % 23) / 4 AS y, (s_suppkey * 5 % 17) / 4 AS z, s_acctbal AS v FROM supplier)"
+_GS = "s AS (SELECT a.k, count(*) n, sum((b.x-a.x)*(b.x-a.x)) xx, sum((b.x-a.x)*(b.y-a.y)) xy, sum((b.x-a.x)*(b.z-a.z)) xz, sum((b.y-a.y)*(b.y-a.y)) yy, sum((b.y-a.y)*(b.z-a.z)) yz, sum((b.z-a.z)*(b.z-a.z)) zz, sum((b.x-a.x)*(b.v-a.v)) bx, sum((b.y-a.y)*(b.v-a.v)) by_, sum((b.z-a.z)*(b.v-a.v)) bz FROM p a JOIN p b ON a.k <> b.k AND abs(a.k - b.k) <= 4 GROUP BY a.k)"
+_GI = "i AS (SELECT *, yy*zz - yz*yz c11, xz*yz - xy*zz c12, xy*yz - xz*yy c13, xx*zz - xz*xz c22, xy*xz - xx*yz c23, xx*yy - xy*xy c33 FROM s), j AS (SELECT *, xx*c11 + xy*c12 + xz*c13 AS det FROM i)"
+
+
+@query("gradient", f"WITH {_GP}, {_GS}, {_GI} SELECT k AS cell, round((c11*bx + c12*by_ + c13*bz) / det, 3) AS gx, round((c12*bx + c22*by_ + c23*bz) / det, 3) AS gy, round((c13*bx + c23*by_ + c33*bz) / det, 3) AS gz FROM j")
 def gradient(spark: SparkSession, sf: str) -> DataFrame:
-    """A linear field over points off a plane; every cell's gradient is exact."""
-    i, j = F.col("id") % 12, F.expr("id div 12")
-    c = spark.range(120).select(F.col("id").alias("cell"), i.cast("double").alias("x"), j.cast("double").alias("y"), ((i * 7 + j * 5 + i * j) % 11 / 3).alias("z"))
-    c = c.withColumn("value", 2 * F.col("x") - 3 * F.col("y") + 0.5 * F.col("z") + 1)
-    n = c.select("cell", "x", "y").alias("a").join(c.select(F.col("cell").alias("neighbour"), F.col("x").alias("p"), F.col("y").alias("q")), (F.abs(F.col("x") - F.col("p")) <= 1) & (F.abs(F.col("y") - F.col("q")) <= 1) & (F.col("cell") != F.col("neighbour")))
-    g = weights.gradient(c, n.select("cell", "neighbour"))
-    return g.select("cell", r6("gx"), r6("gy"), r6("gz"))
+    """Least-squares gradients of account balances over scattered points, eight neighbours by key; SQL inverts the normal equations."""
+    k = F.col("s_suppkey")
+    c = table(spark, sf, "supplier").select(k.alias("cell"), (k * 7 % 19 / 4).alias("x"), (k * 11 % 23 / 4).alias("y"), (k * 5 % 17 / 4).alias("z"), F.col("s_acctbal").alias("value"))
+    near = c.select("cell", F.explode(F.array(*[F.col("cell") + d for d in range(-4, 5) if d])).alias("neighbour"))
+    return weights.gradient(c, near).select("cell", r6("gx", 3), r6("gy", 3), r6("gz", 3))
 
 
 @query("vector_rotate", f"WITH {_W}, x AS (SELECT row, w, s_acctbal AS u, s_nationkey AS v, radians(row) - radians(col) AS a FROM w0 JOIN supplier ON col = s_suppkey) SELECT d.row, round(coalesce(sum(w * (cos(a) * u + sin(a) * v)), 0), 4) AS u, round(coalesce(sum(w * (cos(a) * v - sin(a) * u)), 0), 4) AS v FROM dst d LEFT JOIN x ON d.row = x.row GROUP BY d.row")
@@ -580,10 +585,14 @@ def vector_rotate(spark: SparkSession, sf: str) -> DataFrame:
     return u.join(v, "row")
 
 
-@query("morton_sort", "WITH p AS (SELECT c_custkey AS id, c_custkey % 257 AS x, c_custkey * 31 % 511 AS y FROM customer) SELECT id, (SELECT sum(((x >> b) & 1) << (2 * b)) + sum(((y >> b) & 1) << (2 * b + 1)) FROM range(16) t(b))::BIGINT AS morton FROM p")
+_SCALED = "floor((({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())) * 65535)::BIGINT"
+
+
+@query("morton_sort", f"WITH p0 AS (SELECT c_custkey AS id, (c_custkey * 137 % 3600) / 10 AS lon, (c_custkey * 61 % 1700) / 10 - 85 AS lat FROM customer), p AS (SELECT id, {_SCALED.format(c='lon')} AS x, {_SCALED.format(c='lat')} AS y FROM p0) SELECT id, (SELECT sum(((x >> b) & 1) << (2 * b)) + sum(((y >> b) & 1) << (2 * b + 1)) FROM range(16) t(b))::BIGINT AS morton FROM p")
 def morton_sort(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf, "customer").select(k.alias("id"), weights.morton(k % 257, k * 31 % 511).alias("morton"))
+    points = table(spark, sf, "customer").select(k.alias("id"), (k * 137 % 3600 / 10).alias("lon"), (k * 61 % 1700 / 10 - 85).alias("lat"))
+    return weights.morton_sort(points).select("id", "morton")
 
 
 # ------------------------------------------------------------ exchange, logs, hyperslabs
@@ -629,10 +638,10 @@ def severity_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "log_consolidate",
-    f"WITH l AS (SELECT DISTINCT {_SEV} AS s, event_type || '-' || (user_id % 7) AS m, (user_id % 48)::INT AS r FROM events WHERE user_id % 5 <> 0), g AS (SELECT *, r - row_number() OVER (PARTITION BY s, m ORDER BY r) AS g FROM l), a AS (SELECT s, m, min(r) AS a, max(r) AS b FROM g GROUP BY s, m, g) SELECT s AS severity, m AS message, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranks, sum(b - a + 1)::BIGINT AS n_ranks FROM a GROUP BY s, m",
+    f"WITH l AS (SELECT DISTINCT {_SEV} AS s, event_type || '-' || (user_id % 7) AS m, (user_id % 48)::INT AS r FROM events), g AS (SELECT *, r - row_number() OVER (PARTITION BY s, m ORDER BY r) AS g FROM l), a AS (SELECT s, m, min(r) AS a, max(r) AS b FROM g GROUP BY s, m, g) SELECT s AS severity, m AS message, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranks, sum(b - a + 1)::BIGINT AS n_ranks FROM a GROUP BY s, m",
 )
 def log_consolidate(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("user_id % 5 <> 0")
+    e = table(spark, sf, "events")
     sev = F.element_at(F.array(*map(F.lit, logs.SEVERITIES)), (F.col("event_id") % 6 + 1).cast("int"))
     return logs.consolidate(e.select(sev.alias("severity"), F.concat_ws("-", "event_type", F.col("user_id") % 7).alias("message"), (F.col("user_id") % 48).cast("int").alias("rank")))
 
@@ -647,18 +656,46 @@ def hyperslab(spark: SparkSession, sf: str) -> DataFrame:
     return fieldstore.hyperslab(e, ["vec_id", "pos"], box, shape).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
 
 
-@query("vertical_spline")
+def _spline_sql() -> str:
+    """Forward elimination and back substitution of the spline's system as recursive queries; levels are a unit apart."""
+    y = lambda i: f"embedding[{i}]::DOUBLE"
+    sinh = lambda x: f"((exp({x}) - exp(-({x}))) / 2)"
+    forward = f"f(vec_id, i, u, d) AS (SELECT vec_id, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM embeddings UNION ALL SELECT f.vec_id, i + 1, 1 / (4 - u), (3 * ({y('i + 3')} - 2 * {y('i + 2')} + {y('i + 1')}) - d) / (4 - u) FROM f JOIN embeddings e ON e.vec_id = f.vec_id WHERE i < 62)"
+    back = "b(vec_id, i, d) AS (SELECT vec_id, 63, 0.0::DOUBLE FROM embeddings UNION ALL SELECT b.vec_id, b.i - 1, f.d - f.u * b.d FROM b JOIN f ON f.vec_id = b.vec_id AND f.i = b.i - 1 WHERE b.i > 0)"
+    points = "p(name, k, t) AS (VALUES ('a', 0, 0.0::DOUBLE), ('b', 0, 0.5), ('c', 10, 0.25), ('d', 62, 1.0))"
+    at = f"q AS (SELECT e.vec_id, name, t, {y('k + 1')} AS y0, {y('k + 2')} AS y1, l.d AS d0, r.d AS d1 FROM embeddings e, p JOIN b l ON l.i = k JOIN b r ON r.i = k + 1 WHERE l.vec_id = e.vec_id AND r.vec_id = e.vec_id)"
+    sh, den = sinh("1"), f"((exp(1) + exp(-1)) / 2 - {sinh('1')})"
+    value = f"round(y0 * (1 - t) + y1 * t + ((d0 - (y1 - y0)) * ({sinh('1 - t')} - (1 - t) * {sh}) + (d1 - (y1 - y0)) * ({sinh('t')} - t * {sh})) / {den}, 6)"
+    pick = ", ".join(f"max({value}) FILTER (name = '{c}') AS {c}" for c in "abcd")
+    return f"WITH RECURSIVE {forward}, {back}, {points}, {at} SELECT vec_id, {pick} FROM q GROUP BY vec_id"
+
+
+@query("vertical_spline", _spline_sql())
 def vertical_spline(spark: SparkSession, sf: str) -> DataFrame:
+    """All 64 components as a column of levels, by a spline of tension 1."""
     lev = [float(k) for k in range(64)]
     v = vertical.interpolate(F.col("embedding").cast("array<double>"), lev, [0.0, 0.5, 10.25, 63.0], 1.0)
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(v, lambda x: F.round(x, 6)).alias("vals"))
+    out = table(spark, sf, "embeddings").select("vec_id", v.alias("v"))
+    return out.select("vec_id", *[F.round(F.get("v", F.lit(k)), 6).alias(c) for k, c in enumerate("abcd")])
+
 
+_LUNE = "(k * 37 % 360)::DOUBLE AS x, (10 + k % 50)::DOUBLE AS w, k % 2 AS h"
 
-@query("clip_area")
+
+# Meridians and the equator are great circles, so cells from the equator to a pole overlap by shares of longitude.
+@query("clip_area", f"WITH d AS (SELECT k, {_LUNE} FROM (SELECT s_suppkey AS k FROM supplier)), s AS (SELECT n_nationkey * 2 + hh AS col, n_nationkey * 14.4::DOUBLE + turn * 360 AS x, hh FROM nation, (VALUES (0), (1)) a(hh), (VALUES (-1), (0), (1)) b(turn)) SELECT k AS row, col::BIGINT AS col, round(sum(least(d.x + w, s.x + 14.4) - greatest(d.x, s.x)) / any_value(w), 6) AS w FROM d JOIN s ON h = hh AND s.x < d.x + w - 1e-9 AND s.x + 14.4 > d.x + 1e-9 GROUP BY k, col")
 def clip_area(spark: SparkSession, sf: str) -> DataFrame:
-    src = grids.gaussian_mesh(spark, "O4").select(F.col("cell_id").alias("col"), "ring")
-    dst = grids.with_ring(grids.regular_cells(spark, Regular(24, 6, 0, -45, 15, 15))).select(F.col("cell_id").alias("row"), "ring")
-    return weights.conservative(src, dst).select("row", "col", r6("w"))
+    """Spherical overlaps of cells between equator and pole, clipped as polygons."""
+    p = lambda x, y: F.struct(x.cast("double").alias("lon"), F.lit(y).cast("double").alias("lat"))
+    north = lambda a, b: F.array(p(a, 0), p(b, 0), p(a, 90))
+    south = lambda a, b: F.array(p(b, 0), p(a, 0), p(a, -90))
+    lune = lambda h, a, b: F.when(h == 1, south(a, b)).otherwise(north(a, b))
+    k = F.col("s_suppkey")
+    a = (k * 37 % 360).cast("double")
+    dst = table(spark, sf, "supplier").select(k.alias("row"), lune(k % 2, a, a + 10 + k % 50).alias("ring"))
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("n"), F.explode(F.array(F.lit(0), F.lit(1))).alias("h"))
+    src = n.select((F.col("n") * 2 + F.col("h")).cast("long").alias("col"), lune(F.col("h"), F.col("n") * 14.4, F.col("n") * 14.4 + 14.4).alias("ring"))
+    return weights.conservative(src, dst).where("w > 1e-9").select("row", "col", r6("w"))
 
 
 # ------------------------------------------------------------ meshes
@@ -734,13 +771,16 @@ def degenerate_cells(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("cell_id", grids.degenerate(F.col("ring"), grids.ring_area(F.col("ring"), spherical=False)).alias("why"))
 
 
-@query("cap_filter", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a, supplier b WHERE a.s_suppkey < b.s_suppkey AND b.s_suppkey <= 60 AND (b.s_suppkey - a.s_suppkey) * 2 <= 1 + a.s_suppkey % 5 + b.s_suppkey % 5")
+_CAPS = "c AS (SELECT s_suppkey AS k, cos(radians(s_suppkey * 2.0)) AS x, sin(radians(s_suppkey * 2.0)) AS y, radians(s_suppkey % 5 + 0.5 + 1e-9) AS r FROM supplier)"
+
+
+@query("cap_filter", f"WITH {_CAPS} SELECT a.k AS a, b.k AS b FROM c a JOIN c b ON a.k < b.k AND acos(greatest(least(a.x * b.x + a.y * b.y, 1), -1)) <= a.r + b.r")
 def cap_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Caps along the equator two degrees apart, with radii of half a degree and more."""
-    s = table(spark, sf, "supplier").where("s_suppkey <= 60").select("s_suppkey")
+    """Caps along the equator two degrees apart, with radii of half a degree and more; every pair that meets."""
+    s = table(spark, sf, "supplier").select("s_suppkey")
     lon, r = F.radians(F.col("s_suppkey") * 2.0), F.radians(F.col("s_suppkey") % 5 + 0.5 + 1e-9)
     cap = lambda p: s.select(F.col("s_suppkey").alias(p), F.cos(lon).alias(f"{p}x"), F.sin(lon).alias(f"{p}y"), F.lit(0.0).alias(f"{p}z"), r.alias(f"{p}r"))
-    return weights.cap_filter(cap("a").join(cap("b"), F.col("a") < F.col("b"))).select("a", "b")
+    return weights.cap_join(cap("a"), cap("b")).where("a < b").select("a", "b")
 
 
 # ------------------------------------------------------------ more exchange and sources
@@ -776,11 +816,12 @@ def scrip_egress(spark: SparkSession, sf: str) -> DataFrame:
     return links.groupBy("src_address", "dst_address").agg(F.round(F.sum("remap_matrix"), 4).alias("remap_matrix"))
 
 
-@query("vertical_two_levels", "SELECT vec_id, round(embedding[1]::DOUBLE + (embedding[2]::DOUBLE - embedding[1]::DOUBLE) * 0.25, 6) AS a, round(embedding[2]::DOUBLE, 6) AS b FROM embeddings")
+@query("vertical_two_levels", "SELECT vec_id, k::BIGINT AS level, round(embedding[k + 1]::DOUBLE + (embedding[k + 2]::DOUBLE - embedding[k + 1]::DOUBLE) * 0.25, 6) AS a, round(embedding[k + 2]::DOUBLE, 6) AS b FROM embeddings, range(63) t(k)")
 def vertical_two_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Two levels make a straight line, whatever the spline."""
-    v = vertical.interpolate(F.slice(F.col("embedding").cast("array<double>"), 1, 2), [10.0, 20.0], [12.5, 20.0])
-    return table(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("a"), F.round(F.get("v", F.lit(1)), 6).alias("b"))
+    """Two levels make a straight line, whatever the spline: every pair of neighbouring components."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(62))).alias("level"))
+    v = vertical.interpolate(F.slice("e", F.col("level") + 1, 2), [10.0, 20.0], [12.5, 20.0])
+    return e.select("vec_id", F.col("level").cast("long").alias("level"), v.alias("v")).select("vec_id", "level", F.round(F.get("v", F.lit(0)), 6).alias("a"), F.round(F.get("v", F.lit(1)), 6).alias("b"))
 
 
 @query("format_record", f"SELECT event_id, printf('[RANK:%04d] [%s] %s', (user_id % 16)::INT, {_SEV}, event_type) AS line FROM events")
