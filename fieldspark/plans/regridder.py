@@ -1,7 +1,8 @@
 """The regridding interface: fit weights once, apply them to many fields.
 
 Method choice is a plan decision made before any job: regular pairs take index
-arithmetic, rectilinear ones one axis at a time, all else a candidate join.
+arithmetic (without a weight table where the source is small enough to be
+broadcast), rectilinear ones one axis at a time, all else a candidate join.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import apply as ap
-from ..operators import grids, weights
+from ..operators import grids, stencil, weights
 from ..operators.grids import Regular
 from ..sources import fieldstore
 
@@ -54,13 +55,14 @@ class Regridder:
             raise ValueError("source and destination differ in coordinate system")
         self.src, self.dst, self.method, self.norm, self.skipna, self.na_thres = src, dst, method, norm, skipna, na_thres
         self.weights: DataFrame | None = None
+        self._fitted: DataFrame | None = None  # our own weights, which need no table where a stencil serves
 
     def fit(self, spark: SparkSession) -> Regridder:
         w = self._weights(spark).select("row", "col", "w")
         if self.src.masked or "mask" in (self.src.cells.columns if self.src.cells is not None else []):
             s, d = self.src.table(spark), self.dst.table(spark)
             w = weights.coastal(w.persist(), d.select(F.col("cell_id").alias("row"), "lon", "lat"), s.select(F.col("cell_id").alias("col"), "lon", "lat", "mask"))
-        self.weights = w.select("row", "col", "w").persist()
+        self.weights = self._fitted = w.select("row", "col", "w").persist()
         self._rows = self.dst.table(spark).select(F.col("cell_id").alias("row"))
         return self
 
@@ -95,6 +97,9 @@ class Regridder:
             raise ValueError("fit first")
         if self.skipna:
             return ap.nan_apply(self.weights, field, self._rows, self.na_thres)
+        a, b, values = self.src.regular, self.dst.regular, len(field.columns) - 1
+        if a and b and not self.src.masked and self.weights is self._fitted and stencil.fits(a, b, self.method, values):
+            return stencil.regrid(field.sparkSession, a, b, self.method, field, self.norm)
         return ap.apply(self.weights, field, self._rows)
 
     def __call__(self, field: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import geometry as geo
 from fieldspark.operators import apply as ap
-from fieldspark.operators import grids, vertical, weights
+from fieldspark.operators import grids, stencil, vertical, weights
 from fieldspark.operators.grids import Regular
 from fieldspark.plans.regridder import Mesh, Regridder, VectorRegridder, detect_mesh
 from fieldspark.sources import fieldstore
@@ -173,3 +173,15 @@ def test_esmf_and_store(spark, tmp_path):
         fieldstore.DatasetConfig.from_dict({"backend": "parquet", "path": "x", "codec": {"name": "jpeg"}})
     fieldstore.gmsh(grids.with_ring(grids.regular_cells(spark, Regular(2, 2, 0, 0, 1, 1))), str(tmp_path / "m.msh"))
     assert "$Elements\n4\n" in (tmp_path / "m.msh").read_text()
+
+
+@pytest.mark.parametrize("method,norm", [("nearest", "fracarea"), ("bilinear", "fracarea"), ("conservative", "dstarea"), ("conservative", "fracarea")])
+@pytest.mark.parametrize("pair", [0, 1, 2])
+def test_stencils_agree_with_weight_tables(spark, method, norm, pair):
+    a, b = [(Regular.world(36, 18), Regular.world(40, 25, 4.5)), (Regular.world(36, 18), Regular.world(18, 9)), (Regular(10, 8, 0, 0, 3, 3, False), Regular(6, 5, -2, 1, 4.5, 4.5, False))][pair]
+    field = spark.range(a.ni * a.nj).where("id % 11 <> 3").select(F.col("id").alias("col"), (F.col("id") * F.col("id") % 97 / 7).alias("u"), (F.col("id") % 5).alias("v"))
+    r = Regridder(Mesh.of_regular(a), Mesh.of_regular(b), method, norm).fit(spark)
+    assert stencil.fits(a, b, method, 2)
+    want = {x["row"]: (x["u"], x["v"]) for x in ap.apply(r.weights, field, r._rows).collect()}
+    got = {x["row"]: (x["u"], x["v"]) for x in r.transform(field).collect()}
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
