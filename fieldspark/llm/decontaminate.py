@@ -45,6 +45,8 @@ OVERLAP = 0.75
 ANSWER = 0.6
 ITEMS = 2048
 LONG = 256
+#: Bytes of text worked on at once: its word vectors stay in a core's cache.
+SLICE = 1 << 16
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -70,7 +72,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         test = _test_matrix()
         total = np.zeros((1 << BITS, RANK + 1))
         for b in batches:
-            for _, _, buf, offs in textvec.parts(b.column(0), 1 << 19):
+            for _, _, buf, offs in textvec.parts(b.column(0), SLICE):
                 h, first = textvec.word_hashes(buf, offs, gaps=textvec.MARKS)
                 if not len(h):
                     continue
@@ -286,7 +288,7 @@ def _matcher(search):
     @F.arrow_udf("array<struct<item_id: bigint, share: double>>")
     def matches(text: pa.Array) -> pa.Array:
         out: list = []
-        for _, _, buf, offs in textvec.parts(text, 1 << 19):
+        for _, _, buf, offs in textvec.parts(text, SLICE):
             out += [[{"item_id": i, "share": s} for i, s in sorted(d.items())] for d in search.value.find(buf, offs)]
         return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())])))
 
