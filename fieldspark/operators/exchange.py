@@ -54,12 +54,22 @@ def allgather(parts: DataFrame) -> DataFrame:
 
 
 def prefix_sum_positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``pos``, the global position in the order, by counting per first key and scanning those counts."""
-    key = order[0]
-    per = df.groupBy(key).agg(F.count("*").alias("_n"))
-    base = per.select(key, (F.sum("_n").over(Window.orderBy(key)) - F.col("_n")).alias("_b"))
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order[1:])) - 1
-    return df.withColumn("_k", nth).join(base, key).withColumn("pos", F.col("_b") + F.col("_k")).drop("_b", "_k")
+    """Adds ``pos``, the global position in the order: within the rows that share all keys but the last, on top of the counts before them."""
+    keys = order[:-1]
+    base = _starts(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order[-1])) - 1
+    return df.withColumn("_k", nth).join(base, keys).withColumn("pos", F.col("_b") + F.col("_k")).drop("_b", "_k")
+
+
+def _starts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _b): rows before each combination of keys, from counts (keys, _n) by one key within the next."""
+    outer, last = keys[:-1], keys[-1]
+    before = F.sum("_n").over(Window.partitionBy(*outer).orderBy(last)) - F.col("_n")
+    inner = counts.select(*keys, before.alias("_b"))
+    if not outer:
+        return inner
+    above = _starts(counts.groupBy(*outer).agg(F.sum("_n").alias("_n")), outer).withColumnRenamed("_b", "_above")
+    return inner.join(above, outer).select(*keys, (F.col("_b") + F.col("_above")).alias("_b"))
 
 
 def prefix_sum(df: DataFrame, order: str, value: str) -> DataFrame:

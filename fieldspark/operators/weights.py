@@ -128,11 +128,21 @@ def bilinear_nonuniform(src_lons: DataFrame, src_lats: DataFrame, dst: DataFrame
 
 
 def axis_overlaps(src: DataFrame, dst: DataFrame, spherical_lat: bool = False, period: float | None = None) -> DataFrame:
-    """(di, si, part): overlap of intervals (idx, lo, hi) of two axes of one dimension; with ``period`` the source repeats around."""
+    """(di, si, part): overlap of intervals (idx, lo, hi) of two axes of one dimension; with ``period`` the source repeats around.
+
+    Intervals meet by equality in buckets of their mean width, of which all
+    together touch about twice as many as there are intervals, however uneven
+    the axes; a pair counts in the bucket where its overlap begins.
+    """
     s = src.select(F.col("idx").alias("si"), F.col("lo").alias("slo"), F.col("hi").alias("shi"))
     if period:
         s = s.withColumn("k", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).select("si", (F.col("slo") + F.col("k") * period).alias("slo"), (F.col("shi") + F.col("k") * period).alias("shi"))
-    j = dst.select(F.col("idx").alias("di"), "lo", "hi").join(s, (F.col("slo") < F.col("hi")) & (F.col("shi") > F.col("lo")))
+    d = dst.select(F.col("idx").alias("di"), "lo", "hi")
+    mean = d.select("lo", "hi").unionByName(s.select(F.col("slo").alias("lo"), F.col("shi").alias("hi"))).agg(F.avg(F.abs(F.col("hi") - F.col("lo")))).first()[0]
+    bucket = lambda c: F.floor(c / (mean or 1.0))
+    touched = lambda lo, hi: F.explode(F.sequence(bucket(F.col(lo)), F.greatest(bucket(F.col(lo)), bucket(F.col(hi))))).alias("k")
+    j = d.select("*", touched("lo", "hi")).join(s.select("*", touched("slo", "shi")), "k")
+    j = j.where((F.col("slo") < F.col("hi")) & (F.col("shi") > F.col("lo")) & (F.col("k") == bucket(F.greatest("lo", "slo"))))
     a, b = F.greatest("lo", "slo"), F.least("hi", "shi")
     part = F.sin(F.radians(b)) - F.sin(F.radians(a)) if spherical_lat else F.radians(b - a) if period else b - a
     return j.select("di", "si", part.alias("part")).where("part > 1e-12")

@@ -96,6 +96,12 @@ def spmv_halo(spark: SparkSession, sf: str) -> DataFrame:
     return ap.halo_apply(_weights(spark, sf), s.where("col < 6"), far, _rows(spark), 6).select("row", r6("value", 4))
 
 
+@query("spmv_gathered", f"WITH {_W} SELECT d.row, round(coalesce(sum(w * s_acctbal), 0), 4) AS value FROM dst d LEFT JOIN (SELECT * FROM w0 JOIN supplier ON col = s_suppkey) x ON d.row = x.row GROUP BY d.row")
+def spmv_gathered(spark: SparkSession, sf: str) -> DataFrame:
+    src = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("col"), F.col("s_acctbal").alias("value"))
+    return ap.gathered_apply(_weights(spark, sf), lambda cols: src.join(cols, "col", "left_semi"), _rows(spark)).select("row", r6("value", 4))
+
+
 @query("coo_to_csr", f"WITH {_W}, n AS (SELECT d.row, count(x.row) AS n FROM dst d LEFT JOIN w0 x ON d.row = x.row GROUP BY d.row) SELECT row, (sum(n) OVER (ORDER BY row) - n)::BIGINT AS \"start\", (sum(n) OVER (ORDER BY row))::BIGINT AS \"end\" FROM n")
 def coo_to_csr(spark: SparkSession, sf: str) -> DataFrame:
     return ap.to_csr(_weights(spark, sf), 60)[0]
@@ -208,6 +214,12 @@ def linear_blend(spark: SparkSession, sf: str) -> DataFrame:
     return _hours(spark, sf).select("k", "h", F.round(bl.linear_blend(F.col("l"), F.col("r"), F.col("alpha")), 6).alias("value"))
 
 
+@query("blend_dispatch", f"WITH {_H} SELECT k, h, round(l * (1 - alpha) + r * alpha, 6) AS linear, round(CASE WHEN alpha >= 0.5 THEN r ELSE l END, 6) AS step FROM j")
+def blend_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    cols = [F.round(bl.blend(p, F.col("l"), F.col("r"), F.col("alpha")), 6).alias(p) for p in ("linear", "step")]
+    return _hours(spark, sf).select("k", "h", *cols)
+
+
 @query("step_blend", f"WITH {_H} SELECT k, h, round(CASE WHEN alpha >= 0.5 THEN r ELSE l END, 6) AS value FROM j")
 def step_blend(spark: SparkSession, sf: str) -> DataFrame:
     return _hours(spark, sf).select("k", "h", F.round(bl.step_blend(F.col("l"), F.col("r"), F.col("alpha")), 6).alias("value"))
@@ -296,6 +308,16 @@ def noleap_convert(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", "t", "b.year", "b.month", "b.day", timex.day_of_year("t", "noleap").alias("doy"))
 
 
+_NLADD = "(SELECT o_orderkey, d, ((y * 12 + m - 1 + {n}) // 12)::BIGINT AS y, ((y * 12 + m - 1 + {n}) % 12 + 1)::BIGINT AS m FROM o)"
+_NLDAYS = f"((y - 2026) * 365 + {_CUMSQL}[m] + least(d, [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m]) - 1) * {timex.DAY}"
+
+
+@query("add_months_noleap", f"WITH {_NOFEB29}, a AS {_NLADD.format(n=13)}, b AS {_NLADD.format(n=-25)} SELECT o_orderkey, plus, minus FROM (SELECT o_orderkey, {_NLDAYS} AS plus FROM a) JOIN (SELECT o_orderkey, {_NLDAYS} AS minus FROM b) USING (o_orderkey)")
+def add_months_noleap(spark: SparkSession, sf: str) -> DataFrame:
+    o = _orders_date(spark, sf).withColumn("t", timex.to_ns(F.col("d"), "noleap"))
+    return o.select("o_orderkey", timex.add_months("t", 13, "noleap").alias("plus"), timex.add_months("t", -25, "noleap").alias("minus"))
+
+
 @query("cal360_convert", f"WITH {_NOFEB29} SELECT o_orderkey, ((y - 2026) * 360 + (m - 1) * 30 + d - 1) * {timex.DAY} AS t, y::INT AS year, m::INT AS month, d::INT AS day, ((y - 2026) * 360 + (m - 1) * 30 + d - 1 + 210) * {timex.DAY} AS plus7 FROM o")
 def cal360_convert(spark: SparkSession, sf: str) -> DataFrame:
     o = _orders_date(spark, sf).withColumn("t", timex.to_ns(F.col("d"), "cal360")).withColumn("b", timex.from_ns("t", "cal360"))
@@ -588,6 +610,13 @@ def vector_rotate(spark: SparkSession, sf: str) -> DataFrame:
 _SCALED = "floor((({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())) * 65535)::BIGINT"
 
 
+@query("sphere_points", "WITH p AS (SELECT c_custkey AS id, (c_custkey * 137 % 3600) / 10 AS lon, (c_custkey * 61 % 1700) / 10 - 85 AS lat FROM customer) SELECT id, round(cos(radians(lat)) * cos(radians(lon)), 9) AS x, round(cos(radians(lat)) * sin(radians(lon)), 9) AS y, round(sin(radians(lat)), 9) AS z, round(lat, 6) AS lat, round(((lon * 7 - 900) % 360 + 360) % 360, 6) AS wrapped FROM p")
+def sphere_points(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 137 % 3600 / 10).alias("lon"), (F.col("c_custkey") * 61 % 1700 / 10 - 85).alias("lat"))
+    p = p.withColumn("p", grids.xyz(F.col("lon"), F.col("lat"))).withColumn("back", grids.lonlat(F.col("p.x"), F.col("p.y"), F.col("p.z")))
+    return p.select("id", *[F.round(F.col(f"p.{c}"), 9).alias(c) for c in "xyz"], F.round("back.lat", 6).alias("lat"), F.round(grids.normalize_lon(F.col("lon") * 7 - 900), 6).alias("wrapped"))
+
+
 @query("morton_sort", f"WITH p0 AS (SELECT c_custkey AS id, (c_custkey * 137 % 3600) / 10 AS lon, (c_custkey * 61 % 1700) / 10 - 85 AS lat FROM customer), p AS (SELECT id, {_SCALED.format(c='lon')} AS x, {_SCALED.format(c='lat')} AS y FROM p0) SELECT id, (SELECT sum(((x >> b) & 1) << (2 * b)) + sum(((y >> b) & 1) << (2 * b + 1)) FROM range(16) t(b))::BIGINT AS morton FROM p")
 def morton_sort(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -610,6 +639,17 @@ def allgather(spark: SparkSession, sf: str) -> DataFrame:
     return exchange.allgather(n).select("pos", "rank", "idx")
 
 
+_HX = "v AS (SELECT n_regionkey AS owner, n_nationkey AS local_id, n_nationkey * 1.5 AS value FROM nation), p AS (SELECT c_custkey % 5 AS rank, c_custkey AS slot, c_nationkey % 5 AS owner, c_nationkey AS local_id FROM customer)"
+
+
+@query("halo_exchange", f"WITH {_HX} SELECT rank, slot, coalesce(value, -1)::DOUBLE AS value FROM p LEFT JOIN v USING (owner, local_id)")
+def halo_exchange(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "nation").select(F.col("n_regionkey").alias("rank"), F.col("n_nationkey").alias("local_id"), (F.col("n_nationkey") * 1.5).alias("value"))
+    c = table(spark, sf, "customer")
+    p = c.select((F.col("c_custkey") % 5).alias("rank"), F.col("c_custkey").alias("slot"), (F.col("c_nationkey") % 5).alias("owner"), F.col("c_nationkey").alias("local_id"))
+    return exchange.halo_exchange(v, p).select("rank", "slot", F.coalesce("value", F.lit(-1.0)).alias("value"))
+
+
 @query("prefix_sum", "WITH n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT k, (sum(n) OVER (ORDER BY k) - n)::BIGINT AS exclusive_sum FROM n")
 def prefix_sum(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))

@@ -13,9 +13,15 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files, netcdf
+
+READ = 1 << 20
+
 
 class InvalidInput(ValueError):
     """A request outside the dataset: unknown variable, timestep or box."""
@@ -206,6 +212,34 @@ def read_esmf(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     return w, n["n_a"], n["n_b"]
 
 
+def write_esmf_file(weights: DataFrame, path: str, n_a: int, n_b: int) -> None:
+    """Weights as one NetCDF file, by row and column: 16 bytes a weight pass through the driver; ``write_esmf`` has no such bound."""
+    t = weights.select(F.col("w").cast("double").alias("w"), (F.col("col") + 1).cast("int").alias("col"), (F.col("row") + 1).cast("int").alias("row")).orderBy("row", "col").toArrow()
+    # Names that readers of weight files look up.
+    names = {"w": "S", "col": "col_idx", "row": "row_idx"}
+    variables = {n: (["num_wgts"], t.column(c).to_numpy(), {}) for c, n in names.items()}
+    files.write_bytes(path, netcdf.encode({"num_wgts": t.num_rows}, variables, {"n_a": n_a, "n_b": n_b}))
+
+
+def read_esmf_file(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
+    """(weights, n_a, n_b) of such a file, or of one with ``col`` and ``row`` and size dimensions; tasks read ranges of it."""
+    h = netcdf.header(path)
+    size = dict(h.dims) | {k: v for k, v in h.attributes.items() if k in ("n_a", "n_b")}
+    found = [next((h.variables[n] for n in names if n in h.variables), None) for names in (("row_idx", "row"), ("col_idx", "col"), ("S",))]
+    if None in found or not {"n_a", "n_b"} <= set(size):
+        raise InvalidInput(f"{path} holds no weights")
+    n = h.shape(found[2])[0]
+
+    def run(batches):
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                row, col, w = (netcdf.read_range(path, v, at, min(at + READ, n)) for v in found)
+                yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int64) - 1), pa.array(col.astype(np.int64) - 1), pa.array(w.astype(np.float64))], ["row", "col", "w"])
+
+    n_a, n_b = (int(np.atleast_1d(size[k])[0]) for k in ("n_a", "n_b"))
+    return spark.range(0, n, READ).mapInArrow(run, "row long, col long, w double"), n_a, n_b
+
+
 def scrip_egress(weights: DataFrame, src_cell: DataFrame, dst_cell: DataFrame, method: str) -> dict[str, DataFrame]:
     """Tables in remapping-file terms: 1-based addresses, centers, areas, fractions and the method's name."""
     names = {"conservative": "Conservative remapping", "bilinear": "Bilinear remapping", "nearest": "Nearest neighbor remapping", "patch": "Patch remapping", "bicubic": "Bicubic remapping"}

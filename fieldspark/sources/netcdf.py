@@ -150,6 +150,12 @@ def read_step(path: str, h: Header, v: Variable, t: int | None) -> np.ndarray:
     return np.frombuffer(files.read_bytes(path, at, n), kind).reshape(inner)
 
 
+def read_range(path: str, v: Variable, start: int, end: int) -> np.ndarray:
+    """Elements ``start`` to ``end`` of a variable without a record dimension, in file order."""
+    kind = np.dtype(KINDS[v.kind])
+    return np.frombuffer(files.read_bytes(path, v.begin + start * kind.itemsize, (end - start) * kind.itemsize), kind)
+
+
 class _Step(InputPartition):
     def __init__(self, path: str, t: int | None, at: int):
         self.path, self.t, self.at = path, t, at

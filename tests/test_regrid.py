@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import geometry as geo
 from fieldspark.operators import apply as ap
-from fieldspark.operators import grids, stencil, vertical, weights
+from fieldspark.operators import exchange, grids, stencil, vertical, weights
 from fieldspark.operators.grids import Regular
 from fieldspark.plans.regridder import Mesh, Regridder, VectorRegridder, detect_mesh
 from fieldspark.sources import fieldstore
@@ -156,6 +156,11 @@ def test_esmf_and_store(spark, tmp_path):
     fieldstore.write_esmf(w, str(tmp_path / "w"), 8, 2)
     back, na, nb = fieldstore.read_esmf(spark, str(tmp_path / "w"))
     assert (na, nb) == (8, 2) and back.exceptAll(w).count() == 0
+    fieldstore.write_esmf_file(w, str(tmp_path / "w.nc"), 8, 2)
+    back, na, nb = fieldstore.read_esmf_file(spark, str(tmp_path / "w.nc"))
+    assert (na, nb) == (8, 2) and back.exceptAll(w).count() == w.exceptAll(back).count() == 0
+    fieldstore.write_esmf_file(w.limit(0), str(tmp_path / "none.nc"), 8, 2)
+    assert fieldstore.read_esmf_file(spark, str(tmp_path / "none.nc"))[0].count() == 0
     ds = fieldstore.open_dataset(spark, {"backend": "parquet", "path": str(tmp_path / "d")})
     f = spark.range(24).select((F.expr("id div 6")).alias("i0"), (F.col("id") % 6).alias("i1"), F.col("id").cast("double").alias("value"))
     ds.write("t", 0, f, (4, 6), attributes={"units": "1", "scale": "2.5"})
@@ -185,3 +190,23 @@ def test_stencils_agree_with_weight_tables(spark, method, norm, pair):
     want = {x["row"]: (x["u"], x["v"]) for x in ap.apply(r.weights, field, r._rows).collect()}
     got = {x["row"]: (x["u"], x["v"]) for x in r.transform(field).collect()}
     assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_axis_overlaps_uneven(spark):
+    """Buckets lose no pair and count none twice, on axes whose widths differ a thousandfold."""
+    edges = lambda e: [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(e, e[1:], strict=False))]
+    src, dst = edges([0, 0.01, 0.02, 5, 5.5, 300, 360]), edges([-20, -19.99, 4, 6, 6.5, 200, 340])
+    make = lambda r: spark.createDataFrame(r, "idx long, lo double, hi double")
+    for period in (None, 360.0):
+        shifts = [0.0] if period is None else [-360.0, 0.0, 360.0]
+        want = sorted((d, s, round(min(b, y + k) - max(a, x + k), 9)) for d, a, b in dst for s, x, y in src for k in shifts if min(b, y + k) - max(a, x + k) > 1e-9)
+        part = F.degrees("part") if period else F.col("part")
+        got = weights.axis_overlaps(make(src), make(dst), period=period).select("di", "si", F.round(part, 9).alias("part")).collect()
+        assert sorted(tuple(r) for r in got) == want
+
+
+def test_positions_by_prefixes(spark):
+    rows = [(a, b, c) for a in (2, 0, 1) for b in (1, 0) for c in range(a + b + 1)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    got = {(r["a"], r["b"], r["c"]): r["pos"] for r in exchange.prefix_sum_positions(df, ["a", "b", "c"]).collect()}
+    assert got == {r: k for k, r in enumerate(sorted(rows))}
