@@ -561,6 +561,41 @@ def extrapolate_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("row", F.round((F.col("lon") - F.col("x")) ** 2 + (F.col("lat") - F.col("y")) ** 2, 6).alias("d2"))
 
 
+_SITES = "SELECT s_suppkey AS row, round(3 + 2 * (2 + s_suppkey * 37 % 4500 / 100) - 0.5 * (1.2 + s_suppkey * 53 % 60 / 100), 4) AS value FROM supplier"
+
+
+def _lattice(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Parts on a lattice of 50 columns and suppliers at places inside it."""
+    part, supp = table(spark, sf, "part"), table(spark, sf, "supplier")
+    src = part.select(F.col("p_partkey").alias("col"), (F.col("p_partkey") % 50).cast("double").alias("lon"), F.expr("cast(p_partkey div 50 as double)").alias("lat"))
+    dst = supp.select(F.col("s_suppkey").alias("row"), (2 + F.col("s_suppkey") * 37 % 4500 / 100).alias("lon"), (1.2 + F.col("s_suppkey") * 53 % 60 / 100).alias("lat"))
+    return src, dst
+
+
+def _linear_field(w: DataFrame, src: DataFrame) -> DataFrame:
+    value = 3 + 2 * F.col("lon") - 0.5 * F.col("lat")
+    return w.join(src, "col").groupBy("row").agg(F.round(F.sum(F.col("w") * value), 4).alias("value"))
+
+
+@query("bilinear_mesh", _SITES)
+def bilinear_mesh(spark: SparkSession, sf: str) -> DataFrame:
+    """Every quad that holds the point reproduces a linear field."""
+    src, dst = _lattice(spark, sf)
+    return _linear_field(weights.bilinear(dst, src), src)
+
+
+@query("bicubic_mesh", _SITES)
+def bicubic_mesh(spark: SparkSession, sf: str) -> DataFrame:
+    src, dst = _lattice(spark, sf)
+    return _linear_field(weights.bicubic(dst, src), src)
+
+
+@query("patch_mesh", _SITES)
+def patch_mesh(spark: SparkSession, sf: str) -> DataFrame:
+    src, dst = _lattice(spark, sf)
+    return _linear_field(weights.patch(dst, src), src)
+
+
 @query("conservative_polygon", f"WITH {_overlap_sql(Regular(12, 6, 0, -60, 5, 5), Regular(8, 4, 2, -52, 6, 6))} SELECT row, count(*) AS n FROM o GROUP BY row")
 def conservative_polygon(spark: SparkSession, sf: str) -> DataFrame:
     src = grids.with_ring(grids.regular_cells(spark, Regular(12, 6, 0, -60, 5, 5))).select(F.col("cell_id").alias("col"), "ring")
@@ -856,6 +891,16 @@ def scrip_egress(spark: SparkSession, sf: str) -> DataFrame:
     return links.groupBy("src_address", "dst_address").agg(F.round(F.sum("remap_matrix"), 4).alias("remap_matrix"))
 
 
+@query("vertical_own_levels", "SELECT vec_id, round(a + (b - a) * 0.25, 6) AS low, round(b, 6) AS high FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)")
+def vertical_own_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every column has two levels of its own, 10 apart, rising or falling."""
+    up = F.array(F.lit(10.0), F.lit(20.0))
+    e = table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("v"))
+    turn = lambda a: F.when(F.col("vec_id") % 2 == 0, a).otherwise(F.reverse(a))
+    v = vertical.interpolate_own(e.select(F.col("vec_id").alias("col_id"), turn(up).alias("levels"), turn(F.col("v")).alias("vals")), [12.5, 20.0])
+    return v.select(F.col("col_id").alias("vec_id"), F.round(F.get("vals", F.lit(0)), 6).alias("low"), F.round(F.get("vals", F.lit(1)), 6).alias("high"))
+
+
 @query("vertical_two_levels", "SELECT vec_id, k::BIGINT AS level, round(embedding[k + 1]::DOUBLE + (embedding[k + 2]::DOUBLE - embedding[k + 1]::DOUBLE) * 0.25, 6) AS a, round(embedding[k + 2]::DOUBLE, 6) AS b FROM embeddings, range(63) t(k)")
 def vertical_two_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Two levels make a straight line, whatever the spline: every pair of neighbouring components."""

@@ -2,6 +2,7 @@ import datetime as dt
 import threading
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from fieldspark.operators.grids import Regular
 from fieldspark.plans import cli
 from fieldspark.plans.config import Config, ConfigError
 from fieldspark.plans.pipeline import Orchestrator, PipelineConfig, SlotPool, Stream, parse_interval, parse_pipeline, stream_field, topological_order
+from fieldspark.sources import netcdf
 from fieldspark.sources.fieldstore import Dataset
 from fieldspark.streaming.windows import epoch_window, tumbling
 
@@ -100,6 +102,31 @@ def test_cli(spark, tmp_path):
     assert Regular.world(12, 6).periodic
 
 
+@pytest.mark.parametrize("method", ["conservative", "bilinear"])
+def test_cli_on_files(spark, tmp_path, method):
+    """A file whose latitudes fall gives the field of one whose latitudes rise; fill values are left out."""
+    lon, lat = np.arange(15.0, 360, 30), np.arange(-75.0, 90, 30)
+    t = np.stack([np.full((6, 12), 2.5), lat[:, None] + 0 * lon])
+    got = {}
+    for name, k in (("up", 1), ("down", -1)):
+        variables = {"lat": (["lat"], lat[::k].copy(), {}), "lon": (["lon"], lon, {}), "t": (["time", "lat", "lon"], t[:, ::k].copy(), {}), "rank": (["lat"], lat, {})}
+        (tmp_path / f"{name}.nc").write_bytes(netcdf.encode({"time": None, "lat": 6, "lon": 12}, variables))
+        out = str(tmp_path / f"{name}-out.nc")
+        assert cli.main(["-s", str(tmp_path / f"{name}.nc"), "-t", "8x4", "-o", out, "-m", method]) == 0
+        h = netcdf.header(out)
+        got[name] = np.stack([netcdf.read_step(out, h, h.variables["t"], k) for k in range(2)])
+        assert sorted(h.variables) == ["lat", "lon", "t"]
+    assert got["up"].shape == (2, 4, 8) and np.allclose(got["up"][0], 2.5)
+    if method == "conservative":
+        # Cells of the regular path end on parallels, those of the polygon path on great circles.
+        assert np.abs(got["up"] - got["down"]).max() < 3
+    holes = np.where(lon < 180, 1.0, -9.0) + 0 * lat[:, None]
+    (tmp_path / "holes.nc").write_bytes(netcdf.encode({"lat": 6, "lon": 12}, {"lat": (["lat"], lat, {}), "lon": (["lon"], lon, {}), "t": (["lat", "lon"], holes, {"_FillValue": -9.0})}))
+    assert cli.main(["-s", str(tmp_path / "holes.nc"), "-t", str(tmp_path / "up.nc"), "-o", str(tmp_path / "d"), "-m", "conservative", "--skipna"]) == 0
+    out = Dataset(spark, str(tmp_path / "d")).read("t", 0)
+    assert out.where("i0 % 12 < 6 and abs(value - 1) > 1e-9").count() == 0 and out.where("isnan(value)").count() == 36
+
+
 def test_streaming_window(spark, tmp_path):
     rows = [(dt.datetime(2026, 1, 1, 0, 0, 5), 1.0), (dt.datetime(2026, 1, 1, 0, 0, 8), 2.0), (dt.datetime(2026, 1, 1, 0, 0, 9), 4.0)]
     spark.createDataFrame(rows, "ts timestamp, v double").coalesce(1).write.parquet(str(tmp_path / "in"))
