@@ -8,19 +8,23 @@ SimHash bits, and a ball that wide has millions of variants, so the ball of
 collide there, and completes them by prefix filtering, which loses none: with
 the tokens of all sets in one order, two such sets share a token among the
 first n//5 + 1 of each.  The order puts shingles that are frequent in a sample
-last, so that boilerplate makes no large buckets.
+last, so that boilerplate makes no large buckets.  The sample is a share of all
+documents: one of fixed size would miss passages that a fixed share of the
+documents has, and their buckets grow with the input.
 
 Equal sets collapse to a class first.  The first round checks SimHash
-collisions and, in every bucket of a token, each class against one head.
-Further rounds draw other heads for the buckets that still hold several groups,
-as long as their pairs would outnumber their rows ``DENSE`` times and a round
-still joins groups; the last checks every pair left of different groups.  So a
-large group is joined by a few comparisons a class, not by all its pairs.
-Buckets are aggregates and joins, never one task's rows.  A pair must meet
-at the token that is first in both (the smaller set's first n//9 + 1 are
-enough, by its size), and sets whose parities by ``BITS`` buckets differ in
-more bits than alike sets have tokens apart cannot be alike.  The exact
-similarity of the texts decides.
+collisions and, in every bucket of a token, each class against one head: the
+class with the fewest rarer tokens, so the one with the fewest edits of its own.
+Further rounds draw other heads for the buckets of ``DENSE`` classes or more
+that still hold several groups, as long as a round still joins groups; the last
+checks every pair left of different groups.  So a large group is joined by a few
+comparisons a class, not by all its pairs.  Buckets are aggregates and joins,
+never one task's rows.  A pair must meet at the token that is first in both (the
+smaller set's first n//9 + 1 are enough, by its size), and sets whose parities
+by buckets differ in more bits than alike sets have tokens apart cannot be
+alike.  A set has at least as many parities as tokens (``BITS`` at least), or
+long texts would differ in too few to tell; of two widths the wider is folded.
+The exact similarity of the texts decides.
 """
 
 from __future__ import annotations
@@ -38,9 +42,10 @@ from . import common, textvec
 SHINGLE = 5
 NUM, DEN = 4, 5
 SAMPLE = 4096
+SHARE = 1 / 16
 COMMON = 3
 BITS = 1024
-COMMON_MAX = 1 << 16
+COMMON_MAX = 1 << 20
 DENSE = 128
 ROUNDS = 2
 FOLD = [f"b{k}" for k in range(4)]
@@ -82,6 +87,13 @@ def _simhash(s: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(s), bitorder="little").view(np.int64)[0])
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """Whether each of a power of two of buckets, as many as tokens or more, holds an odd number of the set's tokens, 64 to a word."""
+    width = max(BITS, 1 << (len(s) - 1).bit_length()) if len(s) else BITS
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns of KEY, which tell rows apart by identifier and text."""
     key = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))]
@@ -89,22 +101,23 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame, order) -> DataFrame:
-    """KEY, sig (a hash of the set), n (its size), fp (its SimHash) and bits (parities of its tokens by bucket) of every row."""
+    """KEY, sig (a hash of the set), n (its size), fp (its SimHash), bits (parities of its tokens by bucket) and their folds of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, n, fp, bits = [], [], [], [np.zeros(0, np.int64)]
+            sig, n, fp, bits, folds = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s in shingle_sets(b.column(3), order.value):
                 sig.append(_sig(s))
                 n.append(len(s))
                 fp.append(_simhash(s))
-                odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-                bits.append(np.packbits(odd.astype(bool)).view(np.int64))
-            ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64))
+                bits.append(_parities(s))
+                folds.append(np.bitwise_xor.reduce(bits[-1].reshape(-1, len(FOLD))))
+            ends = pa.array(np.cumsum([len(x) for x in bits], dtype=np.int32))
             cols = [pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bits)))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], [*KEY, "sig", "n", "fp", "bits"])
+            cols += [pa.array(x) for x in np.concatenate(folds).reshape(-1, len(FOLD)).T.copy()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], [*KEY, "sig", "n", "fp", "bits", *FOLD])
 
-    return docs.select(*KEY, F.col("text").cast("string")).mapInArrow(run, "gone boolean, id long, th long, sig long, n int, fp long, bits array<long>")
+    return docs.select(*KEY, F.col("text").cast("string")).mapInArrow(run, "gone boolean, id long, th long, sig long, n int, fp long, bits array<long>, " + ", ".join(f"{f} long" for f in FOLD))
 
 
 def prefixes(docs: DataFrame, order) -> DataFrame:
@@ -129,7 +142,10 @@ def prefixes(docs: DataFrame, order) -> DataFrame:
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
-    """Tokens that ``COMMON`` or more of ``SAMPLE`` documents hold, rarest first, ``COMMON_MAX`` at most."""
+    """Tokens that ``COMMON`` or more of a sample hold, rarest first, ``COMMON_MAX`` at most.
+
+    The sample is ``SHARE`` of the documents or some ``SAMPLE`` of them, whichever is more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,19 +153,19 @@ def frequent(docs: DataFrame) -> np.ndarray:
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
 
-    ids = docs.select("th").distinct().orderBy(F.hash("th"), "th").limit(SAMPLE)
-    texts = docs.join(F.broadcast(ids), "th", "left_semi").dropDuplicates(["th"]).select(F.col("text").cast("string"))
+    share = max(SHARE, SAMPLE / max(docs.count(), 1))
+    drawn = docs.where(F.pmod(F.hash("th"), F.lit(1 << 20)) < share * (1 << 20))
+    texts = drawn.select("th", F.col("text").cast("string").alias("text")).dropDuplicates(["th"]).select("text")
     seen = texts.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    rows = seen.orderBy(F.desc("n"), "token").limit(COMMON_MAX).collect()
-    return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
+    rows = seen.orderBy(F.desc("n"), "token").limit(COMMON_MAX).select("token").toArrow()
+    return rows["token"].to_numpy()[::-1].copy().view(np.uint64)
 
 
 def alike(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> common.Saved:
     """The pairs (u, v) of classes whose exact similarity is NUM / DEN or more."""
     for k in "uv":
         pairs = pairs.join(classes.select(F.col("sig").alias(k), F.col("n").alias(f"{k}n"), F.col("bits").alias(f"{k}b")), k)
-    apart = sum((F.bit_count(F.get("ub", F.lit(k)).bitwiseXOR(F.get("vb", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
-    pairs = common.Saved(pairs.where(_sizes("un", "vn") & ((DEN + NUM) * apart <= (DEN - NUM) * (F.col("un") + F.col("vn")))).select("u", "v"), "jaccard-pairs")
+    pairs = common.Saved(pairs.where(_sizes("un", "vn") & ((DEN + NUM) * _apart("ub", "vb") <= (DEN - NUM) * (F.col("un") + F.col("vn")))).select("u", "v"), "jaccard-pairs")
     ends = pairs.df.select(F.col("u").alias("sig")).unionByName(pairs.df.select(F.col("v").alias("sig"))).distinct()
     reps = classes.join(ends, "sig", "left_semi").select("sig", *KEY)
     # Rows of one key have one text; a hash that two texts share would only cost the second its check.
@@ -176,6 +192,13 @@ def _sizes(a: str, b: str) -> Column:
     return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
 
 
+def _apart(a: str, b: str) -> Column:
+    """Parities that differ.  Widths of sets that may be alike differ by 2 at most, and the wider is folded; others give any number or null."""
+    k = F.least(F.size(a), F.size(b))
+    folded = lambda x: F.when(F.size(x) > k, F.zip_with(F.slice(x, 1, k), F.slice(x, k + 1, k), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+
+
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
@@ -200,7 +223,7 @@ def _rest(open_: DataFrame) -> DataFrame:
 
 
 def _drawn(open_: DataFrame, nth: int) -> DataFrame:
-    """Pairs (u, v) of a class and the head that round ``nth`` draws for its bucket, where their groups differ."""
+    """Pairs (u, v) of a class and the head that round ``nth`` draws for its bucket of ``DENSE`` or more, where their groups differ."""
     own = F.struct(F.xxhash64(F.lit(nth), "token", "sig").alias("h"), *[F.col(c).alias("x" + c) for c in ("sig", "n", "root", *FOLD)])
     head = open_.groupBy("token").agg(F.min(own).alias("head")).select("token", "head.*").drop("h")
     met = open_.join(head, "token").where(F.col("root") != F.col("xroot"))
@@ -214,9 +237,8 @@ def grouped(docs: DataFrame, rows: DataFrame, order, collisions) -> DataFrame:
     ``collisions`` gives the links (u, v) of a table of distinct fingerprints.
     """
     least = F.min(F.struct(*KEY)).alias("rep")
-    classes = rows.groupBy("sig").agg(least, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"))
-    folds = [F.get("bits", F.lit(k)).bitwiseXOR(F.get("bits", F.lit(k + 4))).bitwiseXOR(F.get("bits", F.lit(k + 8))).bitwiseXOR(F.get("bits", F.lit(k + 12))).alias(f) for k, f in enumerate(FOLD)]
-    classes = common.Saved(classes.select("sig", "rep.*", "n", "fp", "bits", *folds), "jaccard-classes")
+    classes = rows.groupBy("sig").agg(least, *[F.first(k).alias(k) for k in ("n", "fp", "bits", *FOLD)])
+    classes = common.Saved(classes.select("sig", "rep.*", "n", "fp", "bits", *FOLD), "jaccard-classes")
     c = classes.df
     # SimHash: the least class of a fingerprint meets the fingerprint's others, and those of fingerprints within the radius.
     heads = common.Saved(c.groupBy("fp").agg(F.min("sig").alias("head")), "jaccard-heads")
@@ -227,7 +249,7 @@ def grouped(docs: DataFrame, rows: DataFrame, order, collisions) -> DataFrame:
     heads.drop()
     # Prefix filtering.
     tokens = common.Saved(prefixes(docs, order), "jaccard-tokens")
-    least = tokens.df.groupBy("token").agg(F.min("sig").alias("head"), F.count("*").alias("held")).where("held > 1").select("token", "head")
+    least = tokens.df.groupBy("token").agg(F.min(F.struct("pos", "sig")).alias("least"), F.count("*").alias("held")).where("held > 1").select("token", F.col("least.sig").alias("head"))
     near = common.Saved(tokens.df.join(least, "token"), "jaccard-buckets")
     tokens.drop()
     star = near.df.where("sig <> head").select(*_ordered(F.col("head"), F.col("sig")))
@@ -239,18 +261,18 @@ def grouped(docs: DataFrame, rows: DataFrame, order, collisions) -> DataFrame:
         roots = common.components(links, "jaccard").select(F.col("node").alias("sig"), "root")
         rooted = near.df.select("token", "pos", "sig", "n").dropDuplicates(["token", "sig"]).join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         rooted = common.Saved(rooted, "jaccard-rooted")
-        mixed = rooted.df.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").cast("double").alias("held")).where("lo <> hi")
+        mixed = rooted.df.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("held")).where("lo <> hi")
         mixed = common.Saved(mixed.select("token", "held"), "jaccard-mixed")
-        open_ = rooted.df.join(mixed.df.select("token"), "token", "left_semi").join(c.select("sig", *FOLD), "sig")
+        open_ = rooted.df.join(mixed.df, "token").join(c.select("sig", *FOLD), "sig")
         open_ = common.Saved(open_, "jaccard-open")
-        total = mixed.df.agg(F.sum("held").alias("rows"), F.sum(F.col("held") * F.col("held")).alias("pairs")).first()
+        dense = mixed.df.where(F.col("held") >= DENSE).limit(1).count()
         mixed.drop()
         rooted.drop()
         near.drop()
         near = open_  # groups only grow, so a bucket of one group stays settled
-        if not total["rows"] or total["pairs"] <= DENSE * total["rows"]:
+        if not dense:
             break
-        more = alike(common.saved(_drawn(open_.df, nth), "jaccard-drawn"), docs, c).df
+        more = alike(common.saved(_drawn(open_.df.where(F.col("held") >= DENSE), nth), "jaccard-drawn"), docs, c).df
         if not more.limit(1).count():
             break
         links = common.saved(links.unionByName(more), "jaccard-links")
