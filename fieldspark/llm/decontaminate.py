@@ -7,14 +7,17 @@ leading singular directions, whitened so that common words do not drown rare
 ones.  The weights come after the counts because the test matrix may absorb
 them: with A = A0 W and W Omega = Omega0, the pass needs A0 alone.
 
-A second pass slides windows of an item's own length, a block at a time, and
-takes as candidates those whose latent cosine to the item is ``COSINE`` or
-more, and every other window that holds as many of the item's rarest words (of
-all its words, if it has an answer) as the rule below asks for, so that the
-latent gate loses no match.  A candidate counts if the longest common subsequence of words covers
-``OVERLAP`` of the item within the window, and the answer check holds: the
-item's answer occurs near the window or, for items without an answer, most of
-the item's rarest words do.  Items are taken in batches of ``ITEMS`` so that
+A second pass takes its candidates from that space alone, by late interaction:
+each word of the corpus scores for an item its greatest latent cosine to any of
+the item's rarest words (to all its words, if it has an answer) where that is
+``COSINE`` or more.  Windows of an item's own length, a block apart, are
+candidates if the scores within the range of the check reach the number of words
+that the rule below asks for; no other window is looked at.  A word has cosine 1
+to itself, so what meets the rule reaches that number whatever the space, and
+words near in meaning count beside it.  A candidate counts if the longest common
+subsequence of words covers ``OVERLAP`` of the item within the window, and the
+answer check holds: the item's answer occurs near the window or, for items
+without an answer, most of the item's rarest words do.  Items are taken in batches of ``ITEMS`` so that
 what a task holds is bounded.  An item is judged whole however long it is; of
 one over ``LONG`` words the first window that meets the rule settles it.
 
@@ -40,11 +43,13 @@ BITS = 13
 RANK = 48
 UNIT = 8
 FIT_UNITS = 4
-COSINE = 0.6
+COSINE = 0.8
 OVERLAP = 0.75
 ANSWER = 0.6
 ITEMS = 2048
 LONG = 256
+#: A cosine of 1 in the whole numbers that scores are summed in.
+ONE = 64
 #: Bytes of text worked on at once: its word vectors stay in a core's cache.
 SLICE = 1 << 16
 
@@ -170,9 +175,24 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _unit_rows(x: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(n > 0, n, 1)
+def _directions(sp: Space) -> np.ndarray:
+    """Each bucket's latent row at length 1; one that the corpus does not have takes its row of the test matrix."""
+    x = np.zeros((1 << BITS, RANK), np.float32)
+    x[:, : sp.rows.shape[1]] = sp.rows
+    top = np.abs(x).max(1, keepdims=True)
+    lost = ~(np.isfinite(top) & (top > 0))[:, 0]
+    x[lost], top[lost] = _test_matrix()[lost], 1
+    x /= top
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _nearness(latent: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets whose greatest cosine to any of ``own`` is ``COSINE`` or more, and that cosine in parts of ``ONE``."""
+    best = np.full(len(latent), -1, np.float32)
+    for k in range(0, len(own), 256):
+        np.maximum(best, (latent @ latent[own[k : k + 256]].T).max(1), out=best)
+    near = np.flatnonzero(np.rint(best * ONE) >= COSINE * ONE)
+    return near, np.rint(best[near] * ONE).astype(np.int64)
 
 
 @dataclass
@@ -181,31 +201,34 @@ class Search:
     items: list[Item]
 
     def __post_init__(self) -> None:
-        self.vectors = _unit_rows(np.stack([self.space.rows[_bucket(i.words)].sum(0) for i in self.items]))
-        self.by_units: dict[int, np.ndarray] = {}
-        for u in sorted({i.units for i in self.items}):
-            self.by_units[u] = np.array([k for k, i in enumerate(self.items) if i.units == u])
         n = np.array([len(i.words) for i in self.items])
-        keys = [np.unique(i.words) if i.answer else np.array(sorted(i.rare), np.uint64) for i in self.items]
         share = np.array([OVERLAP * len(i.words) if i.answer else ANSWER * len(i.rare) for i in self.items])
-        self.need = np.maximum(np.ceil(share - 1e-9).astype(np.int64), 1)
+        self.need = ONE * np.maximum(np.ceil(share - 1e-9).astype(np.int64), 1)
         self.slack = UNIT + n // 4
         self.units = np.array([i.units for i in self.items])
-        words, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        order = np.argsort(words, kind="stable")
-        self.words, self.owner = words[order], owner[order]
-
-    def held(self, h: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """item * (blocks + 1) + block, ascending, of every window whose range for the check holds the words that the rule needs."""
-        lo, hi = np.searchsorted(self.words, h, "left"), np.searchsorted(self.words, h, "right")
-        n = hi - lo
+        latent = _directions(self.space)
+        near = [_nearness(latent, np.unique(_bucket(i.words if i.answer else np.array(sorted(i.rare), np.uint64)))) for i in self.items]
+        bucket = np.concatenate([b for b, _ in near])
+        order = np.argsort(bucket, kind="stable")
+        self.owner = np.repeat(np.arange(len(near)), [len(b) for b, _ in near])[order]
+        self.score = np.concatenate([s for _, s in near])[order]
+        self.entry = np.searchsorted(bucket[order], np.arange((1 << BITS) + 1))
+
+    def candidates(self, h: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """item * (blocks + 1) + block, ascending, of every window whose range for the check scores what the rule needs."""
+        t = _bucket(h).astype(np.int64)
+        lo = self.entry[t]
+        n = self.entry[t + 1] - lo
         pos = np.repeat(np.arange(len(h)), n)
-        item = self.owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(pos))]
-        order = np.lexsort((pos, item))
-        pos, item = pos[order], item[order]
-        a = np.arange(len(pos))
-        b = a + self.need[item] - 1
-        a, b = a[b < len(pos)], b[b < len(pos)]
+        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(pos))
+        item = self.owner[entry]
+        order = np.argsort(item, kind="stable")
+        pos, item, score = pos[order], item[order], self.score[entry[order]]
+        # From each scoring word, the first at which the sum is reached.
+        total = np.cumsum(score)
+        b = np.searchsorted(total, total - score + self.need[item])
+        a = np.flatnonzero(b < len(pos))
+        b = b[a]
         doc = textvec.doc_of(first)
         wide = self.units[item] * UNIT + 2 * self.slack[item]
         ok = (item[a] == item[b]) & (doc[pos[a]] == doc[pos[b]]) & (pos[b] - pos[a] < wide[a])
@@ -224,28 +247,9 @@ class Search:
         if not len(h):
             return out
         starts, at = _block_starts(first, UNIT)
-        blocks = np.add.reduceat(self.space.rows[_bucket(h)], starts, axis=0)
         doc = np.repeat(np.arange(len(offs) - 1), np.diff(at))
-        sums, have = blocks.copy(), 1
-        held, size = self.held(h, first, at), int(at[-1]) + 1
-        near = np.zeros(len(held), bool)
-        for units, which in self.by_units.items():
-            while have < units:  # sums[i]: blocks i .. i+have-1 of one document
-                more = np.flatnonzero(at[doc + 1] > np.arange(len(doc)) + have)
-                sums[more] += blocks[more + have]
-                have += 1
-            # One window for each block that begins a full run; a shorter document has its first.
-            full = np.flatnonzero((at[doc + 1] >= np.arange(len(doc)) + units) | (at[doc] == np.arange(len(doc))))
-            for k in range(0, len(full), 4096):
-                w = full[k : k + 4096]
-                i, j = np.nonzero(_unit_rows(sums[w]) @ self.vectors[which].T >= COSINE)
-                # Of the candidates, those without the words that the rule needs fail the check; one lookup tells.
-                key = which[j] * size + w[i]
-                place = np.minimum(np.searchsorted(held, key), max(len(held) - 1, 0))
-                near[place[held[place] == key] if len(held) else place[:0]] = True
-        # Candidates by meaning first, then the other windows with those words.
-        for key in [*held[near].tolist(), *held[~near].tolist()]:
-            k, i = divmod(key, size)
+        for key in self.candidates(h, first, at).tolist():
+            k, i = divmod(key, int(at[-1]) + 1)
             self._check(out[doc[i]], self.items[k], h, int(starts[i]), first, int(doc[i]))
         return out
 
