@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, textvec
 
 COSINE = 0.95
 SAMPLE = 16_384
@@ -81,8 +81,15 @@ class Index:
         return codes, np.sqrt(err)
 
     def tables(self, residual: np.ndarray) -> np.ndarray:
-        """Squared distances of each query residual to every codeword: (m, n, 256)."""
-        return np.stack([np.maximum((residual[:, c] ** 2).sum(1)[:, None] + (b**2).sum(1) - 2 * residual[:, c] @ b.T, 0) for b, c in zip(self.codebooks, self.splits, strict=True)])
+        """Squared distances of each query residual to every codeword: (m, n, 256), laid out codeword by codeword."""
+        out = np.empty((len(self.splits), 256, len(residual)))
+        for t, b, c in zip(out, self.codebooks, self.splits, strict=True):
+            r = residual[:, c]
+            np.matmul(-2 * b, r.T, out=t)
+            t += (b**2).sum(1)[:, None]
+            t += (r**2).sum(1)
+            np.maximum(t, 0, out=t)
+        return out.swapaxes(1, 2)
 
 
 def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -129,6 +136,19 @@ def _rows(column: pa.Array) -> np.ndarray:
     return v.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _packed(x: np.ndarray, n: np.ndarray | None = None, empty: int = 0) -> pa.Array:
+    """A binary column: the rows of x (or runs of n of its entries), then ``empty`` empty ones."""
+    n = np.full(len(x), x[0].nbytes if len(x) else 0) if n is None else n * x.itemsize
+    offsets = np.r_[0, np.cumsum(n), np.full(empty, n.sum())].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n) + empty, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _unpacked(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a binary column without nulls, and the number of each row's."""
+    buf, offs = textvec.flat(column)
+    return np.frombuffer(buf, dtype), np.diff(offs) // np.dtype(dtype).itemsize
+
+
 def _valid(x) -> F.Column:
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return x.isNotNull() & finite & F.exists(x, lambda v: v != 0)
@@ -146,20 +166,20 @@ def _tiles(index, dim: int, radius: float):
                 home, probes = ix.probes(x, radius)
                 codes, err = ix.encode(x - ix.centroids[home])
                 n = np.array([len(p) for p in probes])
-                who, lists = np.repeat(np.arange(len(x)), n), np.concatenate(probes)
+                who, asked = np.repeat(np.arange(len(x)), n), np.concatenate(probes).astype(np.int32)
                 stored = np.r_[np.ones(len(x), bool), np.zeros(len(who), bool)]
-                who, lists = np.r_[np.arange(len(x)), who], np.r_[home, lists]
+                who, lists = np.r_[np.arange(len(x)), who], np.r_[home, asked]
                 row = pa.array(who)
                 cols = {
                     "list": pa.array(lists.astype(np.int32)),
                     "stored": pa.array(stored),
                     "cid": part.column(0).take(row),
                     "copies": part.column(1).take(row),
-                    "vec": part.column(2).take(row),
+                    "vec": _packed(x).take(row),
                     "home": pa.array(home[who].astype(np.int32)),
-                    "code": pa.array([codes[i].tobytes() if t else b"" for i, t in zip(who, stored, strict=True)], pa.binary()),
+                    "code": _packed(codes, empty=len(asked)),
                     "err": pa.array(err[who]),
-                    "probes": pa.array([probes[i].astype(np.int32) if t else [] for i, t in zip(who, stored, strict=True)], pa.list_(pa.int32())),
+                    "probes": _packed(asked, n, len(asked)),
                 }
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
@@ -190,24 +210,28 @@ def _block(index, cosine: float):
         ix = index.value
         stored = np.asarray(table["stored"].combine_chunks().to_numpy(zero_copy_only=False), bool)
         cid, copies, home = (table[c].to_numpy() for c in ("cid", "copies", "home"))
-        x = _unit(_rows(table["vec"].combine_chunks()))
+        x = _unpacked(table["vec"], np.float64)[0].reshape(len(cid), -1)
         s, q = np.flatnonzero(stored), np.flatnonzero(~stored)
         if not len(s) or not len(q):
             return pa.table({"cid": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "with": pa.array([], pa.int64())})
         own = int(table["list"][0].as_py())
-        codes = np.stack([np.frombuffer(table["code"][int(i)].as_py(), np.uint8) for i in s])
-        err, radius = table["err"].to_numpy()[s], np.sqrt(2 - 2 * cosine)
-        probes = [set(table["probes"][int(i)].as_py()) for i in s]
+        codes = _unpacked(table["code"], np.uint8)[0].reshape(len(s), -1).T.astype(np.intp)
+        radius = np.sqrt(2 - 2 * cosine)
+        # Sums of single precision are off by far less than this share of a distance.
+        limit = ((radius + table["err"].to_numpy()[s] + 1e-6) ** 2 * (1 + 1e-5)).astype(np.float32)[:, None]
+        asked, n = _unpacked(table["probes"], np.int32)
+        probes = np.zeros((len(s), len(ix.centroids)), bool)
+        probes[np.repeat(np.arange(len(s)), n[s]), asked] = True
         links = np.zeros(len(x), np.int64)
         ea, eb = [], []
         for k in range(0, len(q), 256):
             part = q[k : k + 256]
             t = ix.tables(x[part] - ix.centroids[own])
-            d = np.zeros((len(part), len(s)))
-            for m in range(codes.shape[1]):
-                d += t[m][:, codes[:, m]]
-            i, j = np.nonzero(np.sqrt(d) <= radius + err[None] + 1e-6)
-            i, j = part[i], j
+            d = np.zeros((len(s), len(part)), np.float32)
+            for m, code in enumerate(codes):
+                d += t[m].T.astype(np.float32)[code]
+            j, i = np.nonzero(d <= limit)
+            i = part[i]
             keep = cid[i] != cid[s[j]]
             i, j = i[keep], j[keep]
             for c in range(0, len(i), 1 << 17):
@@ -217,7 +241,7 @@ def _block(index, cosine: float):
                 # A pair that also meets in the prober's own list counts in the smaller list only;
                 # within one list each ordered pair comes up once, so it counts for the prober.
                 same = home[a] == own
-                again = np.fromiter((h in probes[y] for h, y in zip(home[a], b, strict=True)), bool, len(a))
+                again = probes[b, home[a]]
                 once = same | ~again | (own < home[a])
                 a, b, same = a[once], b[once], same[once]
                 np.add.at(links, a, copies[s[b]])
@@ -250,7 +274,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, seed: int = 5) -
         sample = _unit(sample)
         index = spark.sparkContext.broadcast(train(sample, n, seed))
         radius = float(np.sqrt(2 - 2 * cosine))
-        tiles = of.mapInArrow(_tiles(index, dim, radius), "list int, stored boolean, cid long, copies long, vec array<double>, home int, code binary, err double, probes array<int>")
+        tiles = of.mapInArrow(_tiles(index, dim, radius), "list int, stored boolean, cid long, copies long, vec binary, home int, code binary, err double, probes binary")
         tiles = common.saved(tiles, "vector-tiles")
         # One row for each list; lists number LISTS_MAX at most.
         size = tiles.groupBy("list").agg(F.sum(F.col("stored").cast("long")).alias("held"), F.sum((~F.col("stored")).cast("long")).alias("asked")).where("held > 0")

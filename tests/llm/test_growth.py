@@ -1,10 +1,15 @@
-"""Near-duplicate candidates that must not grow faster than the documents."""
+"""Near-duplicate candidates that must not grow faster than the documents, and vectors whose comparing must stay cheap."""
 
 import random
+import time
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from fieldspark.llm import jaccard
+from fieldspark.llm import jaccard, vectors
 
 from .test_advice import prose
 from .test_llm import make
@@ -33,3 +38,35 @@ def test_parities_tell_long_texts_apart(spark):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
     alike = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)}
     assert len(alike) > 26 and alike == set(map(tuple, may))
+
+
+def test_a_block_of_vectors_costs_less_than_lookups_pair_by_pair():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2048, 64))
+    x[1024:1060] = x[:36] + 0.01 * rng.normal(size=(36, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = SimpleNamespace(value=vectors.train(x, 1))
+    vec = pa.array(x.tolist(), pa.list_(pa.float64()))
+    made = vectors._tiles(index, 64, np.sqrt(0.1))(iter([pa.RecordBatch.from_arrays([pa.array(range(2048)), pa.array([1] * 2048), vec], ["cid", "copies", "vec"])]))
+    table = pa.Table.from_batches(made)
+    # Half of the vectors are stored, the others probe.
+    table = table.filter(pc.equal(table["stored"], pc.less(table["cid"], 1024)))
+
+    def seconds(run):
+        start = time.process_time()
+        return run(), time.process_time() - start
+
+    ix = index.value
+    codes, err = ix.encode(x[:1024] - ix.centroids[0])
+
+    def plain():
+        for k in range(1024, 2048, 256):
+            t, d = ix.tables(x[k : k + 256] - ix.centroids[0]).copy(order="C"), np.zeros((256, 1024))
+            for m in range(8):
+                d += t[m][:, codes[:, m]]
+            np.nonzero(np.sqrt(d) <= np.sqrt(0.1) + err + 1e-6)
+
+    block = vectors._block(index, 0.95)
+    found = {r["cid"]: (r["links"], r["with"]) for r in block(table).to_pylist()}
+    assert found == {i + 1024: (1, i) for i in range(36)}
+    assert min(seconds(lambda: block(table))[1] for _ in range(5)) < 0.7 * min(seconds(plain)[1] for _ in range(5))
