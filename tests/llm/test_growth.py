@@ -70,3 +70,26 @@ def test_a_block_of_vectors_costs_less_than_lookups_pair_by_pair():
     found = {r["cid"]: (r["links"], r["with"]) for r in block(table).to_pylist()}
     assert found == {i + 1024: (1, i) for i in range(36)}
     assert min(seconds(lambda: block(table))[1] for _ in range(5)) < 0.7 * min(seconds(plain)[1] for _ in range(5))
+
+
+def test_a_vector_goes_to_a_group_of_lists_once(spark, monkeypatch):
+    """Rows are not multiplied by the lists they probe, and passes over groups lose no link."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    x[3000:3500] = x[:500] + 0.02 * rng.normal(size=(500, 32)).astype(np.float32)
+    monkeypatch.setattr(vectors, "PER_LIST", 60)
+    monkeypatch.setattr(vectors, "BLOCK", 1000)
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1)[:, None]
+    index = SimpleNamespace(value=vectors.train(u, len(u)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array([1] * 6000), pa.array(list(x), pa.list_(pa.float32()))], ["cid", "copies", "vec"])
+    made = sum(b.num_rows for b in vectors._tiles(index, 32, np.sqrt(0.1))(iter([batch])))
+    probed = sum(map(len, index.value.probes(u, np.sqrt(0.1))[1]))
+    assert len(index.value.centroids) == 100 and made - 6000 < 0.6 * probed
+    monkeypatch.setattr(vectors, "PASS", 1)
+    monkeypatch.setattr(vectors, "SHARE", 0.5)
+    passes = []
+    monkeypatch.setattr(vectors, "_dealt", lambda ix, a, b, real=vectors._dealt: passes.append((a, b)) or real(ix, a, b))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
+    want = ((u @ u.T) >= vectors.COSINE).sum(1) - 1
+    assert len(passes) > 2 and got == dict(enumerate(want.tolist())) and want.sum() >= 1000
